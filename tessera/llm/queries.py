@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import load
 from .licenses import license_scan
 from .quality import quality_rules
+from .simhash import simhash_near_dedup
+from .substrings import substring_dedup
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +21,17 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(load(spark, sf_dir, "documents")).drop("detections")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_dedup(load(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(load(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_license_scan": op4_license_scan,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
