@@ -41,11 +41,13 @@ class Rule:
     base: bool = False
 
 
-#: Base rules, fixed, in their order; a match is a run, and those of under `least` characters are dropped.
+#: Base rules, fixed, in their order. For access and hex a least length of 18 and 16 characters is the same
+#: as dropping shorter matches, since a match is a whole run. For assign it is not: a match whose value is too
+#: short still uses up its characters, so those are dropped afterwards.
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, False, True),
-    Rule("hex", r"[0-9a-f]+", 0, 16, False, True),
+    Rule("access", r"AKIA[A-Z0-9]{14,}", base=True),
+    Rule("hex", r"[0-9a-f]{16,}", base=True),
 )
 
 #: More kinds, after the base ones in the order of spans.
@@ -65,6 +67,7 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 _MOST_STRINGS = 16
+_BLOCK = 64
 Query = frozenset[frozenset[str]]  # alternatives of trigrams that all must stand; {empty set} asks for nothing
 _ANY: Query = frozenset([frozenset()])
 
@@ -163,24 +166,39 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def _spans(rule: Rule, order: int) -> Column:
-    """The spans of a rule's matches in the column text, as array<struct<start, order, end, kind>>."""
+    """The spans of a rule's matches in the column text, as array<struct<start, order, end, kind>>.
+
+    split() leaves what stands between the matches, so the ends are running
+    sums of lengths, taken in blocks: a text of many matches costs little more
+    than their number.
+    """
     regex = ("(?i)" if rule.any_case else "") + rule.regex
     matches = F.regexp_extract_all("text", F.lit(regex), F.lit(0))
     groups = F.regexp_extract_all("text", F.lit(regex), F.lit(rule.group)) if rule.group else matches
-    pieces = F.split("text", regex, -1)
-    lengths = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
-
-    def placed(parts: Column) -> Column:
-        return F.transform(
-            parts["m"],
-            lambda m, i: F.struct(
-                F.aggregate(F.slice(parts["l"], 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["p"] + F.coalesce(x["m"], F.lit(0))).alias("to"),
-                F.length(m).alias("n"),
-                F.length(F.get(parts["g"], i)).alias("held"),
-            ),
-        )
 
-    whole = F.element_at(F.transform(F.array(F.struct(lengths.alias("l"), matches.alias("m"), groups.alias("g"))), placed), 1)
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def blocked(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), (F.size(x["l"]) / _BLOCK).cast("int"))
+        return F.struct(x["m"].alias("m"), x["g"].alias("g"), x["l"].alias("l"), F.transform(starts, lambda c: total(F.slice(x["l"], c * _BLOCK + 1, _BLOCK))).alias("sums"))
+
+    def based(x: Column) -> Column:
+        return F.struct(x["m"].alias("m"), x["g"].alias("g"), x["l"].alias("l"), F.transform(x["sums"], lambda _, c: total(F.slice(x["sums"], 1, c))).alias("before"))
+
+    def placed(x: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            block = (i / _BLOCK).cast("int")
+            to = F.get(x["before"], block) + total(F.slice(x["l"], block * _BLOCK + 1, i % _BLOCK + 1))
+            return F.struct(to.alias("to"), F.length(m).alias("n"), F.length(F.get(x["g"], i)).alias("held"))
+
+        return F.transform(x["m"], one)
+
+    pieces = F.slice(F.split("text", regex, -1), F.lit(1), F.size(matches))
+    value = F.array(F.struct(matches.alias("m"), groups.alias("g"), F.zip_with(pieces, matches, lambda p, m: F.length(p).cast("long") + F.length(m)).alias("l")))
+    for step in (blocked, based, placed):
+        value = F.transform(value, step)
+    whole = F.element_at(value, 1)
     kept = F.filter(whole, lambda x: x["held"] >= rule.least) if rule.least else whole
     return F.transform(
         kept,
@@ -199,7 +217,7 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     each = []
     for i, rule in enumerate(rules):
         if trigram_query(rule.regex) == _ANY:
-            wanted = F.col("text").rlike(f"{rule.regex[:-1]}{{{rule.least},}}") if rule.regex.endswith("]+") and not rule.group and rule.least else F.lit(True)
+            wanted = F.col("text").rlike(("(?i)" if rule.any_case else "") + rule.regex)
         else:
             wanted = F.array_contains("rules", i)
         each.append(F.when(wanted, _spans(rule, i)).otherwise(sql(_NONE)))
