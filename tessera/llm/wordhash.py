@@ -48,16 +48,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, values: np.ndarray = _BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and the number of words of each text.
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in data, and the number of words of each text.
 
-    A word is a run of bytes other than 9-13 and 32 inside one text. Its hash is
-    a polynomial of its bytes' random values, mixed; sums over prefixes make it
-    one subtraction a word.
+    A word is a run of bytes other than 9-13 and 32 inside one text.
     """
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64)
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
     word = ~_SEPARATOR[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -68,6 +65,14 @@ def word_hashes(data: np.ndarray, off: np.ndarray, values: np.ndarray = _BYTES)
     at = off[1:][full] - 1
     last[at] = word[at]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.diff(np.searchsorted(starts, off))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
+    """The hash of each span: a polynomial of its bytes' random values, mixed.
+
+    Sums over prefixes make it one subtraction a span.
+    """
     out = np.empty(len(starts), np.uint64)
     up = down = None
     k = 0
@@ -76,13 +81,20 @@ def word_hashes(data: np.ndarray, off: np.ndarray, values: np.ndarray = _BYTES)
         to = max(k + 1, int(np.searchsorted(ends, base + _PIECE, "right")))
         size = int(ends[to - 1] - base)
         if up is None or len(up) < size + 1:
-            up, down = _powers(_ODD, max(size + 1, _PIECE + 1)), _powers(_ODD_INVERSE, max(size + 1, _PIECE + 1))
+            most = max(size, min(_PIECE, len(data))) + 1
+            up, down = _powers(_ODD, most), _powers(_ODD_INVERSE, most)
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(values[data[base : base + size]] * up[:size], out=sums[1:])
         s, e = starts[k:to] - base, ends[k:to] - base
         out[k:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         k = to
-    return out, np.diff(np.searchsorted(starts, off))
+    return out
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray, values: np.ndarray = _BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and the number of words of each text."""
+    starts, ends, counts = word_spans(data, off)
+    return span_hashes(data, starts, ends, values), counts
 
 
 def roll(h: np.ndarray, n: int) -> np.ndarray:
