@@ -14,6 +14,7 @@ from .secrets import secret_report
 from .simhash import simhash_near_dedup
 from .substrings import substring_dedup
 from .toxicity import toxicity
+from .webtext import extract
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(load(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(load(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -51,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_toxicity": op7_toxicity,
+    "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }
