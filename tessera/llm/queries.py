@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import load
 from .licenses import license_scan
 from .merkle import edited_fingerprints
+from .pieces import encode
 from .quality import quality_rules
 from .secrets import secret_report
 from .simhash import simhash_near_dedup
@@ -41,6 +42,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(load(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(load(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }
