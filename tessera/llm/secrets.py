@@ -26,7 +26,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, pick, sql
+from .common import doc_texts, sql
 
 
 @dataclass(frozen=True)
@@ -209,11 +209,10 @@ def _spans(rule: Rule, order: int) -> Column:
 _NONE = "cast(array() AS array<struct<start:bigint,order:int,end:bigint,kind:string>>)"
 
 
-def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text and spans (start, order, end, kind; code points, end exclusive), sorted."""
-    texts = doc_texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = candidates(trigram_index(texts, rules), rules)
-    joined = texts.join(found, "key", "left")
+def _with_spans(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rows (text, key and any others) with the sorted spans of text."""
+    found = candidates(trigram_index(rows, rules), rules)
+    joined = rows.join(found, "key", "left")
     each = []
     for i, rule in enumerate(rules):
         if trigram_query(rule.regex) == _ANY:
@@ -221,7 +220,13 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         else:
             wanted = F.array_contains("rules", i)
         each.append(F.when(wanted, _spans(rule, i)).otherwise(sql(_NONE)))
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
+    return joined.select(*rows.columns, F.array_sort(F.concat(*each)).alias("spans"))
+
+
+def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, text and spans (start, order, end, kind; code points, end exclusive), sorted."""
+    texts = doc_texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    return _with_spans(texts, rules).drop("key")
 
 
 def _joined(spans: Column) -> Column:
@@ -245,7 +250,10 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret replaced by its kind in brackets, and n_chars (if there) counted anew."""
-    scanned = secret_scan(docs, rules).where(F.size("spans") > 0)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names, strict=True))
+    flat = docs.toDF(*names).withColumn("text", F.coalesce(F.col(of["text"]), F.lit("")))
+    scanned = _with_spans(flat.withColumn("key", F.xxhash64(F.col(of["doc_id"]).cast("long"), "text")), rules)
     clean = F.aggregate(
         F.col("spans"),
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
@@ -258,11 +266,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
         lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))),
     )
-    changed = scanned.select(F.xxhash64("doc_id", "text").alias("secret_key"), clean.alias("secret_text")).dropDuplicates(["secret_key"])
-    own = pick(docs, *docs.columns)
-    keyed = own.withColumn("own_key", F.xxhash64(own["doc_id"].cast("long"), F.coalesce(own["text"], F.lit(""))))
-    joined = keyed.join(changed, keyed["own_key"] == changed["secret_key"], "left")
-    new = {"text": F.coalesce("secret_text", own["text"])}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("secret_text").isNotNull(), F.length("secret_text").cast("long")).otherwise(own["n_chars"])
-    return joined.select(*[new[c].alias(c) if c in new else own[c] for c in docs.columns])
+    new = {of["text"]: F.when(F.size("spans") > 0, clean).otherwise(F.col(of["text"]))}
+    if "n_chars" in of:
+        new[of["n_chars"]] = F.when(F.size("spans") > 0, F.length(clean).cast("long")).otherwise(F.col(of["n_chars"]))
+    return scanned.select(*[new.get(c, F.col(c)).alias(c) for c in names]).toDF(*docs.columns)

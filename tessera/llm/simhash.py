@@ -14,9 +14,9 @@ entry of many fingerprints is dealt out once more by the bytes of the other
 segment, one of which two linked fingerprints share.
 
 Defined cases: null, empty and white-space texts have fingerprint 0 and link
-like any other. A null doc_id never is a component's id, unless it has no
-other: then that is null. Repeated rows each get a row. Other columns are
-ignored.
+like any other. A null doc_id is a component's id only if it has no other.
+Repeated rows each get a row (``keep_one`` keeps one of them). Other columns are
+ignored, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, pick, sql, written
+from .common import doc_texts, sql, written
 from .components import components
 
 WORDS = 3
 DISTANCE = 3
+_NULL_ID = 2**63 - 1
 #: Fingerprints at one table entry from which on it is dealt out again.
 CROWDED = 4096
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -61,12 +62,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
     for batch in batches:
         texts = batch.column("text")
         fp = np.fromiter((fingerprint(texts[i].as_py(), n) for i in range(len(texts))), np.uint64, len(texts))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(fp.view(np.int64))], names=["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
-    return doc_texts(docs).mapInArrow(lambda it: _fingerprints(it, n), "doc_id long, fp long")
+    """(doc_id, th, fp): the 64 bits as a signed long, and a hash of the text."""
+    rows = doc_texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(lambda it: _fingerprints(it, n), "doc_id long, th long, fp long")
 
 
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -143,25 +145,34 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lambda it: _verify(it, DISTANCE), "a long, b long").distinct()
 
 
-def simhash_near_dedup(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the component)."""
+def _groups(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, first): the first row of each distinct fingerprint's component.
+
+    Rows are ordered by doc_id, nulls last, then by the hash of the text.
+    """
     every = written(fingerprints(docs, n))
-    fps = written(every.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    row = F.struct(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("k"), "th")
+    fps = written(every.groupBy("fp").agg(F.min(row).alias("least")))
     stars = components(links(fps.select("fp")), "a", "b")
     labelled = fps.join(stars, fps.fp == stars.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(least, "label").select("fp", "component_id")
-    return every.join(ids, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    firsts = labelled.groupBy("label").agg(F.min("least").alias("first"))
+    return every, labelled.join(firsts, "label").select("fp", "first")
+
+
+def simhash_near_dedup(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the component)."""
+    every, groups = _groups(docs, n)
+    return every.join(groups, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif(F.col("first.k"), F.lit(_NULL_ID)).alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """The documents without those that near-copy one of a smaller doc_id.
-
-    Rows without a doc_id are kept: there is nothing to tell them apart by.
-    Rows that repeat a kept doc_id stay.
-    """
-    gone = simhash_near_dedup(docs, n).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = pick(docs, *docs.columns)
-    return kept.join(gone, kept["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of each component, all columns: that of the smallest doc_id (nulls last, ties by the text's hash)."""
+    groups = _groups(docs, n)[1]
+    firsts = groups.select(F.col("first.k").alias("k"), F.col("first.th").alias("th")).distinct()
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names, strict=True))
+    flat = docs.toDF(*names)
+    keyed = flat.withColumns({"k": F.coalesce(F.col(of["doc_id"]).cast("long"), F.lit(_NULL_ID)), "th": F.xxhash64(F.coalesce(F.col(of["text"]), F.lit("")))})
+    return keyed.join(firsts, ["k", "th"], "left_semi").dropDuplicates(["k", "th"]).select(*names).toDF(*docs.columns)

@@ -14,8 +14,8 @@ size, sent to the executors. There is no shuffle in scoring.
 
 Defined cases: null and empty texts have no n-grams and score by the bias
 alone. Labels that are null do not count; of several for a doc_id the greatest
-does. Without labels of both classes every score is the share of toxic labels
-(0 without any). Repeated rows each get a row; rows with a null doc_id are not
+does. Without labels of two classes every score is the classes' share (a half
+without any label). Repeated rows each get a row; rows with a null doc_id are not
 held out. Other columns are ignored.
 """
 
@@ -84,22 +84,33 @@ def _weighed_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """weight of each bucket and the bias of the log odds of label 1."""
+    """Log odds of each class but the first against the first: weights of each bucket, and biases."""
 
     weight: np.ndarray
-    bias: float
+    bias: np.ndarray
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
+    def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The classes' probabilities of each text, and its number of words."""
         words, text, word, much = _weighed_words(texts)
-        total, count = np.zeros(len(words)), np.zeros(len(words))
+        k = self.weight.shape[1]
+        total, count = np.zeros((len(words), k)), np.zeros(len(words))
         if words:
             for bucket, bounds in _grams(words):
-                sums = np.concatenate([[0.0], np.cumsum(self.weight[bucket], dtype=np.float64)])
-                total += sums[bounds[1:]] - sums[bounds[:-1]]
+                for j in range(k):
+                    sums = np.concatenate([[0.0], np.cumsum(self.weight[bucket, j], dtype=np.float64)])
+                    total[:, j] += sums[bounds[1:]] - sums[bounds[:-1]]
                 count += np.diff(bounds)
-        says = np.bincount(text, much * total[word], len(texts))
-        size = np.bincount(text, much * count[word], len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.bias + GAIN * says / (size + NEUTRAL), -700, 700)))
+        size = np.bincount(text, much * count[word], len(texts)) + NEUTRAL
+        odds = np.zeros((len(texts), k + 1))
+        for j in range(k):
+            odds[:, j + 1] = self.bias[j] + GAIN * np.bincount(text, much * total[word, j], len(texts)) / size
+        p = np.exp(odds - odds.max(1, keepdims=True))
+        n_words = np.rint(np.bincount(text, much**2, len(texts))).astype(np.int64)
+        return p / p.sum(1, keepdims=True), n_words
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """The probability of class 1."""
+        return self.posteriors(texts)[0][:, 1]
 
 
 def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,43 +129,44 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(shares), np.array(bounds)
 
 
-def _odds(share: float) -> float:
-    return float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+def _odds(shares: np.ndarray) -> np.ndarray:
+    logs = np.log(np.asarray(shares, float) + 1e-9)
+    return logs[1:] - logs[0]
 
 
-def train(texts: list[str], labels: np.ndarray, share: float | None = None, seed: int = 7) -> Model:
+def train(texts: list[str], labels: np.ndarray, shares: list[float] | None = None, classes: int = 2, seed: int = 7) -> Model:
     """Embedding table and softmax, jointly, by Adagrad on the log loss.
 
-    share: of label 1 where the model is used, if not that of the sample.
+    shares: of the classes where the model is used, if not those of the sample.
     """
-    labels = np.asarray(labels, np.float32)
-    prior = float(labels.mean()) if len(labels) else 0.0
-    share = prior if share is None else share
-    if not 0 < prior < 1:
-        return Model(np.zeros(1 << BUCKET_BITS, np.float32), _odds(share))
+    labels = np.asarray(labels, int)
+    sampled = np.bincount(labels, minlength=classes) / max(1, len(labels))
+    shares = sampled if shares is None else np.asarray(shares, float)
+    if (sampled > 0).sum() < 2:
+        return Model(np.zeros((1 << BUCKET_BITS, classes - 1), np.float32), _odds(shares))
     rng = np.random.default_rng(seed)
-    ids, shares, bounds = _bags(texts)
+    ids, weights, bounds = _bags(texts)
     # Rows met in a few texts only would learn those texts by heart.
-    shares[np.bincount(ids, minlength=1 << BUCKET_BITS)[ids] < min(5, 1 + len(texts) // 400)] = 0
+    weights[np.bincount(ids, minlength=1 << BUCKET_BITS)[ids] < min(5, 1 + len(texts) // 400)] = 0
     table = np.zeros((1 << BUCKET_BITS, DIM), np.float32)
     table_seen = np.full((1 << BUCKET_BITS, 1), 1e-8, np.float32)
-    soft = rng.choice([-1.0, 1.0], (DIM, 2)).astype(np.float32) / np.sqrt(DIM)
-    soft[:, 0] = -soft[:, 1]
-    soft_seen = np.full((DIM, 2), 1e-2, np.float32)
-    offset = np.log(np.array([1 - prior, prior], np.float32))
-    for epoch in range(EPOCHS):
+    soft = rng.choice([-1.0, 1.0], (DIM, classes)).astype(np.float32) / np.sqrt(DIM)
+    soft -= soft.mean(1, keepdims=True)
+    soft_seen = np.full((DIM, classes), 1e-2, np.float32)
+    offset = np.log(sampled + 1e-9)
+    for _ in range(EPOCHS):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
             n = bounds[rows + 1] - bounds[rows]
             item = np.repeat(np.arange(len(rows)), n)
             at = np.arange(len(item)) + np.repeat(bounds[rows] - (np.cumsum(n) - n), n)
-            b, x = ids[at], GAIN * shares[at]
+            b, x = ids[at], GAIN * weights[at]
             embed = np.stack([np.bincount(item, table[b, d] * x, len(rows)) for d in range(DIM)], 1)
             logits = embed @ soft + offset
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows].astype(int)] -= 1
+            p[np.arange(len(rows)), labels[rows]] -= 1
             p /= len(rows)
             d_soft, d_embed = embed.T @ p, p @ soft.T
             met, where = np.unique(b, return_inverse=True)
@@ -163,7 +175,7 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, seed
             table[met] -= RATE * d_table / np.sqrt(table_seen[met])
             soft_seen += d_soft**2
             soft -= RATE / 4 * d_soft / np.sqrt(soft_seen)
-    return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), _odds(share))
+    return Model((table @ (soft[:, 1:] - soft[:, :1])).astype(np.float32), _odds(shares))
 
 
 def held_out() -> F.Column:
@@ -171,21 +183,32 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels to learn from, at most PER_CLASS of each class, and the share of label 1 among all labels."""
-    rows = pick(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    known = rows.where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int]) -> tuple[list[str], np.ndarray, list[float]]:
+    """Texts and classes to learn from, and the classes' shares among all labels.
+
+    labels: (doc_id, label) of distinct documents; at most per_class rows of each come to the driver.
+    """
     texts = doc_texts(docs).where(F.length("text") <= MOST_CHARS)
     # More ids than needed, since some of them may have no text here or a long one.
-    picked = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n) for c, n in PER_CLASS.items()]
-    ids = picked[0].unionByName(picked[1])
-    found = texts.join(F.broadcast(ids), "doc_id")  # at most 2 * sum(PER_CLASS) ids
-    share = known.agg(F.avg("label")).first()[0] or 0.0
+    ids = None
+    for c, n in per_class.items():
+        first = labels.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n)
+        ids = first if ids is None else ids.unionByName(first)
+    found = texts.join(F.broadcast(ids), "doc_id")  # at most 2 * sum(per_class) ids
+    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total = max(1, sum(counts.values()))
     out: list[tuple[str, int]] = []
-    for c, n in PER_CLASS.items():
+    for c, n in per_class.items():
         best = found.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n)
         out += [(r["text"], c) for r in best.select("text").collect()]
-    return [t for t, _ in out], np.array([c for _, c in out]), share
+    return [t for t, _ in out], np.array([c for _, c in out], int), [counts.get(c, 0) / total for c in per_class]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+    """The model of a 0/1 column of labels, learned from the rows that are not held out."""
+    rows = pick(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = rows.where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return train(*training_sample(docs, known, PER_CLASS))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -197,7 +220,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    model = train(*training_sample(docs, labels, label))
+    model = fit(docs, labels, label)
     scored = doc_texts(docs).withColumn("held_out", held_out()).mapInArrow(lambda it: _score(it, model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -211,7 +234,7 @@ def _keep(batches: Iterator[pa.RecordBatch], model: Model, column: str) -> Itera
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """The documents that are not predicted toxic, all their columns."""
-    model = train(*training_sample(docs, labels, label))
+    model = fit(docs, labels, label)
     # Positions for names: Arrow batches may not hold names that differ in case only.
     names = [f"_c{i}" for i in range(len(docs.columns))]
     flat = docs.toDF(*names).withColumn("_scored", F.coalesce(F.col(names[docs.columns.index("text")]), F.lit("")))
