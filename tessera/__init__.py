@@ -1 +1,24 @@
 """Versioned tables on Spark: a directory of Parquet files and a log of small JSON entries."""
+
+from .errors import (
+    ConflictError,
+    CorruptedJsonError,
+    DuplicateVersionError,
+    InvariantViolation,
+    LogError,
+    MissingVersionError,
+    WriteConflictError,
+)
+from .operators.gc import VacuumResult
+from .operators.recovery import RecoveryResult
+from .operators.transaction import CrashPoint, Transaction
+from .operators.reader import SnapshotReader
+from .sources.log import LogEntry
+from .sources.storage import LocalStorage, StorageBackend, local_storage
+from .table import Table
+
+__all__ = [
+    "ConflictError", "CorruptedJsonError", "CrashPoint", "DuplicateVersionError", "InvariantViolation", "LocalStorage",
+    "LogEntry", "LogError", "MissingVersionError", "RecoveryResult", "SnapshotReader", "StorageBackend", "Table",
+    "Transaction", "VacuumResult", "WriteConflictError", "local_storage",
+]

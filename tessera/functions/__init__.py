@@ -1 +1 @@
-
+"""SQL functions over tables by path."""

@@ -1 +1 @@
-
+"""A table's log as a stream."""
