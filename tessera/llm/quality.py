@@ -79,7 +79,7 @@ def _repeat_words(window: int) -> str:
 
 def measure(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id with the measures of each text."""
-    spaces = r"' \t\n\u000b\f\r'"
+    spaces = r"' \t\n\u000b\u000c\r'"
     stop = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
     split = doc_texts(docs).select(
         "doc_id",
