@@ -143,8 +143,7 @@ def _places(regex: str, of: str = "norm") -> str:
     matches share no character. What split() leaves between the matches tells
     where they start.
     """
-    spaced = "  ".join(regex.split(" ")) if "(?:" not in regex else _spaced(regex)
-    quoted = f" {spaced} ".replace("'", "\\'")
+    quoted = f" {doubled(regex)} ".replace("'", "\\'")
     return let(
         f"split({of}, '{quoted}', -1)",
         "p",
@@ -159,9 +158,9 @@ def _places(regex: str, of: str = "norm") -> str:
     )
 
 
-def _spaced(regex: str) -> str:
+def doubled(regex: str) -> str:
     """A regex written with single spaces, for words that stand two spaces apart."""
-    return regex.replace(" ?", "(?:  )?").replace("(?:  )?", "\0").replace(" ", "  ").replace("\0", "(?:  )?")
+    return regex.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?")
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
