@@ -39,15 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, let, pick, sql
+from .common import doc_texts, let, partitions, pick, sql, written
 from .wordhash import chunks
 
 SPACE = "▁"
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 FREQUENT = 100_000
-_CACHE = 400_000
+#: Words, and other things, that a task remembers at most.
+_WORDS = 800_000
+_CACHE = 200_000
 _CHUNK_BYTES = 4 << 20
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -66,6 +67,21 @@ def merged(text: str, rank: dict[str, int]) -> list[str]:
     return parts
 
 
+def split_words(text: str) -> list[str]:
+    """The words of a text that is not empty, each without its first leading space."""
+    words = text.replace(SPACE, " ").split(" ")
+    if "" not in words:
+        return words
+    out, lead = [], 0
+    for w in words[:-1]:
+        if w:
+            out.append(" " * lead + w)
+            lead = 0
+        else:
+            lead += 1
+    return [*out, " " * lead + words[-1]]
+
+
 @dataclass
 class Pieces:
     """The piece table: id and rank of each piece, ids of the 256 bytes, and what each id decodes to."""
@@ -76,57 +92,87 @@ class Pieces:
     out: list[bytes]
     longest: int
     whole: frozenset[str] = frozenset()
-    fits: dict[tuple[str, str], bool] = field(default_factory=dict)
-    cache: dict[str, bytes] = field(default_factory=dict)
+    #: Ends of pieces, and pairs of characters that stand side by side in some piece.
+    tails: frozenset[str] = frozenset()
+    inside: frozenset[str] = frozenset()
+    fits: dict[str, dict[str, bool]] = field(default_factory=dict)
+    runs: dict[str, bytes] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "fits": {}, "cache": {}}
+        return {**self.__dict__, "fits": {}, "runs": {}}
 
     def follows(self, left: str, right: str) -> bool:
         """True if left and right stay apart when their characters are merged."""
-        key = (left, right)
-        known = self.fits.get(key)
+        known = self.fits.get(left)
         if known is None:
             if len(self.fits) > _CACHE:
                 self.fits.clear()
-            known = self.fits[key] = merged(left + right, self.rank) == [left, right]
-        return known
-
-    def encode_word(self, word: str) -> list[int]:
-        """The Viterbi path through a word's lattice."""
-        n = len(word)
-        into: list[tuple[str, int] | None] = [("", 0)] + [None] * n
+            known = self.fits[left] = {}
+        found = known.get(right)
+        if found is None:
+            found = known[right] = merged(left + right, self.rank) == [left, right]
+        return found
+
+    def _viterbi(self, word: str) -> bytes:
+        """The path through the lattice of characters that pieces may join."""
+        n, whole, tails, fits = len(word), self.whole, self.tails, self.fits
+        last, back = [""] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(end - 1, -1, -1):
                 piece = word[start:end]
-                before = into[start]
-                if before is not None and (piece in self.whole or end - start == 1) and (start == 0 or self.follows(before[0], piece)):
-                    into[end] = (piece, start)
-                    break  # no other edge into this place has a finite score
-        path, at = [], n
+                if piece in whole or start == end - 1:
+                    if start == 0:
+                        break
+                    known = fits.get(last[start])
+                    good = known.get(piece) if known is not None else None
+                    if good is None:
+                        good = self.follows(last[start], piece)
+                    if good:  # no other edge into this place has a finite score
+                        break
+                if piece not in tails:  # no longer edge ends here; merging always leaves one that does
+                    raise AssertionError(f"no path into place {end} of {word!r}")
+            last[end], back[end] = piece, start
+        ids, at = [], n
         while at:
-            piece, at = into[at]  # type: ignore[misc]
-            path.append(piece)
-        ids: list[int] = []
-        for piece in reversed(path):
-            if piece in self.ids:
-                ids.append(self.ids[piece])
-            else:
-                ids += [self.byte_ids[b] for b in piece.encode()]
-        return ids
-
-    def encode(self, text: str, table: dict[str, bytes]) -> np.ndarray:
-        """The ids of a text; table: those of words, as bytes of int32."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        out, cache = [], self.cache
-        for w in _WORD.findall(SPACE + text.replace(" ", SPACE)):
-            ids = table.get(w) or cache.get(w)
+            piece, at = last[at], back[at]
+            known_id = self.ids.get(piece)
+            ids += [known_id] if known_id is not None else [self.byte_ids[b] for b in reversed(piece.encode())]
+        return np.array(ids[::-1], np.int32).tobytes()
+
+    def encode_word(self, word: str) -> bytes:
+        """The ids of a word as bytes of int32: the paths of its runs, cut where no piece joins two characters."""
+        inside, cuts = self.inside, [0]
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in inside:
+                cuts.append(i)
+        if len(cuts) == 1:
+            return self._viterbi(word)
+        runs, out = self.runs, []
+        if len(runs) > _CACHE:
+            runs.clear()
+        for i, j in zip(cuts, [*cuts[1:], len(word)], strict=True):
+            run = word[i:j]
+            ids = runs.get(run)
             if ids is None:
-                ids = cache[w] = np.array(self.encode_word(w), np.int32).tobytes()
+                ids = runs[run] = self._viterbi(run)
             out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str, known: dict[str, bytes]) -> np.ndarray:
+        """The ids of a text; known: those of words met, as bytes of int32, to which it adds."""
+        if not text:
+            return np.zeros(0, np.int32)
+        words = split_words(text)
+        out = list(map(known.get, words))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    w = words[i]
+                    ids = known.get(w)
+                    if ids is None:
+                        lead = len(w) - len(w.lstrip(" "))
+                        ids = known[w] = self.encode_word(SPACE * (lead + 1) + w[lead:])
+                    out[i] = ids
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -158,6 +204,8 @@ def load_pieces(path: str = MODEL) -> Pieces:
     made = Pieces(ids, rank, byte_ids, out, max(map(len, ids), default=1))
     # A piece that merging never ends in is no edge of a lattice.
     made.whole = frozenset(p for p in ids if len(p) == 1 or merged(p, rank) == [p])
+    made.tails = frozenset(p[i:] for p in made.whole for i in range(len(p)))
+    made.inside = frozenset(p[i : i + 2] for p in ids for i in range(len(p) - 1))
     return made
 
 
@@ -167,12 +215,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n: Counter[str] = Counter()
             for t in chunk.column("text").to_pylist():
                 if t:
-                    n.update(_WORD.findall(SPACE + t.replace(" ", SPACE)))
+                    n.update(split_words(t))
             yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
 
 def frequent_words(texts: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """(word) of the most frequent words that occur twice or more, at most so many."""
+    """(word) of the most frequent words that occur twice or more, at most so many, as split_words() gives them."""
     counted = texts.select("text").mapInArrow(_count, "word string, n long").where("length(word) <= 64")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word")
 
@@ -189,7 +237,15 @@ def _follow(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.Re
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of distinct, non-empty words, by the lattice in Spark."""
+    """(word, ids) of distinct words as split_words() gives them, by the lattice in Spark."""
+    spark = words.sparkSession
+    given = words.select("word", sql(f"concat(repeat('{SPACE}', length(word) - length(ltrim(word)) + 1), ltrim(word))").alias("w"))
+    given = written(given).repartition(partitions(spark), "word")
+    ids = _encode_spaced(given.select(F.col("w").alias("word")), pieces)
+    return given.withColumnRenamed("w", "spaced").join(ids.withColumnRenamed("word", "spaced"), "spaced").select("word", "ids")
+
+
+def _encode_spaced(words: DataFrame, pieces: Pieces) -> DataFrame:
     table = F.broadcast(piece_table(words.sparkSession, pieces))
     cut = words.select("word", sql(
         "explode(flatten(transform(sequence(1, length(word)), s -> transform("
@@ -197,9 +253,9 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     ).alias("x")).select("word", "x.*")
     edges = cut.join(table, "piece", "left").where("id IS NOT NULL OR e = s + 1")
     lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("e", "s", "piece", F.coalesce("id", F.lit(-1)).alias("id")))).alias("edges"))
-    steps = lattice.select("word", "edges", sql(
+    steps = written(lattice.select("word", "edges", sql(
         "array_distinct(flatten(transform(edges, a -> transform(filter(edges, b -> b.s = a.e), b -> struct(a.piece AS left, b.piece AS right)))))"
-    ).alias("steps"))
+    ).alias("steps")))
     met = steps.select("word", F.explode("steps").alias("p")).select("word", "p.left", "p.right")
     good = met.select("left", "right").distinct().mapInArrow(lambda it: _follow(it, pieces), "left string, right string")
     finite = met.join(good, ["left", "right"]).groupBy("word").agg(F.collect_set(F.struct("left", "right")).alias("finite"))
@@ -222,10 +278,13 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], pieces: Pieces, table: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+    known = dict(table)
     for batch in batches:
         for chunk in chunks(batch, "text", _CHUNK_BYTES):
+            if len(known) > len(table) + _WORDS:
+                known = dict(table)
             texts = chunk.column("text").to_pylist()
-            ids = [pieces.encode(t, table) for t in texts]
+            ids = [pieces.encode(t, known) for t in texts]
             same = [pieces.decode(i) == t for i, t in zip(ids, texts, strict=True)]
             n = np.array([len(i) for i in ids], np.int64)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
