@@ -126,14 +126,14 @@ def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, most: dict
             trial = F.when((moved > F.col("low")) & (moved < F.col("high")), 1.0).otherwise(0.0)
         row = now.agg(*[F.sum(n * p * F.col("rate")).alias(f"s{i}") for i, p in enumerate(ps)], *[x.alias(f"m{i}") for i, x in enumerate(squares(trial))]).first()
         gap = (want - np.array(row[:k])) / scale
-        size = float(np.abs(gap).max())
+        size = float(gap @ whole @ gap)
         if size < gap_least:
             best, gap_least = rate, size
         elif back is not None:  # taken back
             rate, gap = back
             rate, back = _moved(rate, whole @ gap, scale, names, low, high), None
             continue
-        if size < CLOSE:
+        if np.abs(gap).max() < CLOSE:
             break
         free = np.linalg.pinv(np.array(row[k:]).reshape(k, k) / scale**2, rcond=1e-6, hermitian=True) if gap_before is not None else whole
         back, gap_before = (rate, gap), gap

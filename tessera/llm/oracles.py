@@ -57,7 +57,8 @@ FROM docs d LEFT JOIN texts USING (doc_id) GROUP BY d.doc_id"""
 
 
 def _quality_rule(rule: quality.Rule) -> str:
-    value = "CAST(" + quality._MEASURES[rule.measure].replace(" / ", " AS DOUBLE) / ")
+    above, below = quality._MEASURES[rule.measure]
+    value = f"CAST({above} AS DOUBLE) / {below}"
     bounds = [f"{value} {op} {x}" for op, x in ((">=", rule.low), ("<=", rule.high)) if x is not None]
     return f"(n_words < {rule.min_words} OR ({' AND '.join(bounds)}))"
 

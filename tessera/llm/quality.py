@@ -50,12 +50,13 @@ RULES = (
     Rule("stop_ratio", 0.03, None, 50),
 )
 
+#: Each measure is a quotient of two counts; none if the second is 0.
 _MEASURES = {
-    "mean_word_chars": "word_chars / n_words",
-    "symbol_ratio": "n_symbols / n_words",
-    "exclamation_ratio": "n_exclaims / n_words",
-    "dup_line_ratio": "n_dup_lines / n_lines",
-    "stop_ratio": "n_stop / n_words",
+    "mean_word_chars": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "n_words"),
+    "exclamation_ratio": ("n_exclaims", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "stop_ratio": ("n_stop", "n_words"),
 }
 
 
@@ -110,7 +111,7 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     """True where the measures pass every rule of the table."""
     passed = F.lit(True)
     for r in rules:
-        value = sql(_MEASURES[r.measure])
+        value = F.try_divide(*_MEASURES[r.measure])
         inside = F.lit(True)
         if r.low is not None:
             inside = inside & (value >= r.low)
