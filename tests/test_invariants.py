@@ -1,5 +1,5 @@
 import pytest
-from helpers import commit, make_log, put
+from .helpers import commit, make_log, put
 
 from tessera import InvariantViolation, Table, local_storage
 from tessera.operators import invariants as inv

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from helpers import make_log, put
+from .helpers import make_log, put
 
 from tessera import CorruptedJsonError, DuplicateVersionError, LogEntry, LogError, MissingVersionError, local_storage
 from tessera.sources import layout

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import commit, make_log
+from .helpers import commit, make_log
 
 from tessera import MissingVersionError, SnapshotReader, local_storage
 from tessera.operators.snapshot import build_snapshot, files_referenced_in_range

@@ -4,7 +4,7 @@ import subprocess
 import sys
 
 import pytest
-from helpers import commit, data_files, make_log, put
+from .helpers import commit, data_files, make_log, put
 
 from tessera import ConflictError, CrashPoint, LogError, SnapshotReader, Transaction, WriteConflictError, local_storage
 from tessera.operators.recovery import recover_log
