@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
 A text's paragraphs are its lines; each is cut after sentences and after every
-sixth word into pieces, the leaves. A section is a run of paragraphs that ends
+fourth word into pieces, the leaves. A section is a run of paragraphs that ends
 with a blank one, or one whose hash starts with 0 to 3: bounds that depend on
 content alone, so an insertion moves no later section. Pieces, paragraphs and
 sections hash to MD5, the root is the SHA-256 of the sections. Nothing is
@@ -9,7 +9,8 @@ dropped on the way down, so equal roots mean equal texts.
 
 A fingerprint reads ``root|section:paragraphs,...|leaves of paragraph,...``:
 roots test equality, and differing branches locate edits. Likeness compares two
-fingerprints: 1 for equal roots, else Dice's coefficient of their leaves.
+fingerprints: 1 for equal roots, else Dice's coefficient of their leaves, each
+counted as often as it occurs.
 
 Only native expressions. One document's expressions depend on its own text;
 ``with_next`` pairs neighbours by doc_id with a single shuffle.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_texts, let, sql
 
-PIECE_WORDS = 6
+PIECE_WORDS = 4
 _EMPTY = "d41d8cd98f00b204e9800998ecf8427e"  # MD5 of the empty string
 #: Documents that one window holds, and the most ranges they are dealt into.
 RANGE_ROWS = 1024
@@ -36,17 +37,26 @@ _NULL_ID = -(2**63)
 
 
 def tree(text: str) -> Column:
-    """struct(fingerprint, leaves) of a text column; leaves are distinct and not empty."""
+    """struct(fingerprint, leaves) of a text column; leaves are not empty, and numbered where they repeat."""
     marked = f"regexp_replace(regexp_replace(p, '([.!?] +)', '$1\\u0001'), '((?:[^ \\u0001]+ +){{{PIECE_WORDS}}})', '$1\\u0001')"
     leaves = f"transform(split({text}, '\\n', -1), p -> transform(split({marked}, '\\u0001', -1), x -> md5(x)))"
     paragraphs = "array_join(transform(t, l -> concat(',', md5(array_join(l, '')), '.')), '')"
     sections = f"filter(split(regexp_replace(s, '(,[0-3][0-9a-f]{{31}}[.]|,{_EMPTY}[.])', '$1;'), ';'), x -> x != '')"
+    # In sorted order equal leaves stand together. Where a run begins is found by steps of halving length, so that the
+    # second of two equal leaves differs from the first, and sets of leaves count repeats.
+    steps = "array(" + ", ".join(str(1 << k) for k in range(20, -1, -1)) + ")"
+    first = f"aggregate({steps}, k, (i, d) -> if(i >= d AND get(s, i - d) = x, i - d, i))"
+    numbered = let(
+        f"array_sort(transform(filter(flatten(t), x -> x != '{_EMPTY}'), x -> substr(x, 1, 8)))",
+        "s",
+        f"transform(s, (x, k) -> if(k > 0 AND get(s, k - 1) = x, concat(x, ':', cast(k - {first} AS string)), x))",
+    )
     out = (
         "named_struct('fingerprint', concat("
         "sha2(array_join(transform(c, x -> md5(x)), ''), 256), '|', "
         "array_join(transform(c, x -> concat(substr(md5(x), 1, 16), ':', cast(length(x) - length(replace(x, ',', '')) AS string))), ','), '|', "
         "array_join(transform(t, l -> array_join(transform(l, x -> substr(x, 1, 8)), '')), ',')), "
-        f"'leaves', array_distinct(transform(filter(flatten(t), x -> x != '{_EMPTY}'), x -> substr(x, 1, 8))))"
+        f"'leaves', {numbered})"
     )
     return sql(let(leaves, "t", let(paragraphs, "s", let(sections, "c", out))))
 

@@ -24,10 +24,14 @@ cut AS (SELECT doc_id, kind, list_transform(string_split(text, chr(10)), lambda
   regexp_replace(regexp_replace(p, '([.!?] +)', '\1' || chr(1), 'g'), '((?:[^ \x01]+ +){{{PIECE_WORDS}}})', '\1' || chr(1), 'g'), chr(1)), lambda x: md5(x))) AS t FROM every),
 joined AS (SELECT *, array_to_string(list_transform(t, lambda l: ',' || md5(array_to_string(l, '')) || '.'), '') AS s FROM cut),
 parts AS (SELECT *, list_filter(string_split(regexp_replace(s, '(,[0-3][0-9a-f]{{31}}[.]|,{_EMPTY}[.])', '\1;', 'g'), ';'), lambda x: x <> '') AS c FROM joined),
-trees AS (SELECT doc_id, kind, sha256(array_to_string(list_transform(c, lambda x: md5(x)), '')) AS root,
+cut_trees AS (SELECT doc_id, kind, sha256(array_to_string(list_transform(c, lambda x: md5(x)), '')) AS root,
   array_to_string(list_transform(c, lambda x: left(md5(x), 16) || ':' || (length(x) - length(replace(x, ',', '')))), ',') AS sections,
   array_to_string(list_transform(t, lambda l: array_to_string(list_transform(l, lambda x: left(x, 8)), '')), ',') AS paragraphs,
-  list_distinct(list_transform(list_filter(flatten(t), lambda x: x <> '{_EMPTY}'), lambda x: left(x, 8))) AS leaves FROM parts),
+  list_transform(list_filter(flatten(t), lambda x: x <> '{_EMPTY}'), lambda x: left(x, 8)) AS every_leaf FROM parts),
+each AS (SELECT doc_id, kind, unnest(every_leaf) AS leaf FROM cut_trees),
+numbered AS (SELECT doc_id, kind, leaf || ':' || row_number() OVER (PARTITION BY doc_id, kind, leaf) AS leaf FROM each),
+gathered AS (SELECT doc_id, kind, list(leaf) AS leaves FROM numbered GROUP BY 1, 2),
+trees AS (SELECT c.*, coalesce(g.leaves, []) AS leaves FROM cut_trees c LEFT JOIN gathered g ON g.doc_id = c.doc_id AND g.kind = c.kind),
 near AS (SELECT p.doc_id, p.n_chars, sha256(p.edited) AS edited_sha256, a.root || '|' || a.sections || '|' || a.paragraphs AS fingerprint,
   e.root || '|' || e.sections || '|' || e.paragraphs AS edited_fingerprint, a.root AS ra, e.root AS re, x.root AS rx, a.leaves AS la, e.leaves AS le, x.leaves AS lx
   FROM pairs p JOIN trees a ON a.doc_id = p.doc_id AND a.kind = 0 JOIN trees e ON e.doc_id = p.doc_id AND e.kind = 1 JOIN trees x ON x.doc_id = p.next_id AND x.kind = 0)
