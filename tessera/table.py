@@ -11,6 +11,7 @@ from .operators import gc, invariants, recovery
 from .operators.reader import SnapshotReader
 from .operators.transaction import Transaction
 from .plans import checks, ops
+from .sources.bulk import bulk_log
 from .sources.log import ensure_dirs, latest_version, log_frame, read_logs, read_version, versions
 from .sources.storage import StorageBackend, open_storage
 
@@ -31,9 +32,11 @@ class Table:
     def latest_version(self) -> int:
         return latest_version(self.storage)
 
-    def log(self, upto: int | None = None) -> DataFrame:
-        """(version, timestamp, adds, removes) up to a version; strictly parsed."""
+    def log(self, upto: int | None = None, bulk: bool = False) -> DataFrame:
+        """(version, timestamp, adds, removes) up to a version; strictly parsed, with bulk by the executors."""
         end = self.latest_version() if upto is None else upto
+        if bulk:
+            return bulk_log(self.spark, self.storage, end)
         return log_frame(self.spark, read_logs(self.storage, end))
 
     def ops(self, upto: int | None = None) -> DataFrame:

@@ -3,8 +3,9 @@ import json
 import pytest
 from .helpers import make_log, put
 
-from tessera import CorruptedJsonError, DuplicateVersionError, LogEntry, LogError, MissingVersionError, local_storage
+from tessera import CorruptedJsonError, DuplicateVersionError, LogEntry, LogError, MissingVersionError, Table, local_storage
 from tessera.sources import layout
+from tessera.sources.bulk import checked_log
 from tessera.sources.log import atomic_write, cleanup_tmp_files, ensure_dirs, latest_version, log_frame, read_logs, versions, write_log
 
 
@@ -143,3 +144,17 @@ def test_storage(tmp_path):
     storage.remove_tree("x")
     storage.remove_tree("x")
     assert not storage.exists("x")
+
+
+def test_bulk_log(spark, tmp_path):
+    storage = make_log(tmp_path, ("a b", ""), ("", "a"), ("é c", "b"))
+    table = Table(spark, tmp_path)
+    assert sorted(map(repr, table.log(bulk=True).collect())) == sorted(map(repr, table.log().collect()))
+    assert table.log(1, bulk=True).count() == 2 and Table(spark, tmp_path / "none").log(bulk=True).count() == 0
+    put(storage, layout.log_key(2), "")
+    assert {r.version: r.ok for r in checked_log(spark, storage).collect()} == {0: True, 1: True, 2: False}
+    for text, error in (("", CorruptedJsonError), ("BAD", CorruptedJsonError), (None, MissingVersionError)):
+        put(storage, layout.log_key(1), text) if text is not None else storage.remove_file(layout.log_key(1))
+        with pytest.raises(error) as e:
+            table.log(2, bulk=True)
+        assert e.value.version == 1
