@@ -6,6 +6,7 @@ from .helpers import make_log, put
 from tessera import CorruptedJsonError, DuplicateVersionError, LogEntry, LogError, MissingVersionError, Table, local_storage
 from tessera.sources import layout
 from tessera.sources.bulk import checked_log
+from tessera.sources.storage import azure_sas_settings
 from tessera.sources.log import atomic_write, cleanup_tmp_files, ensure_dirs, latest_version, log_frame, read_logs, versions, write_log
 
 
@@ -158,3 +159,11 @@ def test_bulk_log(spark, tmp_path):
         with pytest.raises(error) as e:
             table.log(2, bulk=True)
         assert e.value.version == 1
+
+
+def test_azure_settings():
+    assert azure_sas_settings("a.dfs.example.net", " ?sv=1&sig=x") == {
+        "fs.azure.account.auth.type.a.dfs.example.net": "SAS", "fs.azure.sas.fixed.token.a.dfs.example.net": "sv=1&sig=x",
+    }
+    with pytest.raises(LogError):
+        azure_sas_settings("a", "?")
