@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 2000
 #: The white space of the word rule [^\x20\x09-\x0D]+, as characters.
 SPACES = " \t\n\x0b\f\r"
 
@@ -28,8 +33,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{cols.index(n)}").alias(n) for n in names])
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session: rows are whole texts, and 10,000 of them fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def doc_texts(df: DataFrame) -> DataFrame:
     """(doc_id long, text string) of a documents table, null texts as empty."""
+    short_batches(df.sparkSession)
     return pick(df, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
@@ -44,6 +57,17 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def frugal(batches: Iterator) -> Iterator:
+    """The batches; then gives the memory that they needed back to the system, as idle workers share it with busy ones."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of this machine only where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -60,7 +84,16 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"t-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_path = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a DataFrame that written() returned and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

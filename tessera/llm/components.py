@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _toward_least(pairs: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = _edges(_toward_least(both).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")))
         star = _toward_least(large)
         small = _edges(star.select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(star.select("x", F.col("m").alias("y"))))
-        now = written(small)
+        before, now = now, written(small)
+        forget(before)
         row = now.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y")), F.sum(F.shiftright(F.xxhash64("y", "x"), 32))).first()
         if tuple(row) == mark:
             return now.select(F.col("x").alias("node"), F.col("y").alias("component"))

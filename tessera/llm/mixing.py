@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import frugal, pick, written
 from .toxicity import CHUNK_BYTES, Model, train, training_sample
 from .wordhash import chunks
 
@@ -71,7 +71,7 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, keep: list[str]) -> Data
     flat = every.select(*kept, text.alias("mix_text"))
     rows = flat.drop("mix_text")
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields], "n_tokens long", *[f"p_{d} double" for d in DOMAINS]])
-    return flat.mapInArrow(lambda it: _posteriors(it, model), schema)
+    return flat.mapInArrow(lambda it: frugal(_posteriors(it, model)), schema)
 
 
 def _bounds(names: list[str], most: dict[str, float]) -> tuple[Column, Column]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, sql, written
+from .common import doc_texts, frugal, sql, written
 from .components import components
 
 WORDS = 3
@@ -68,7 +68,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
 def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """(doc_id, th, fp): the 64 bits as a signed long, and a hash of the text."""
     rows = doc_texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(lambda it: _fingerprints(it, n), "doc_id long, th long, fp long")
+    return rows.mapInArrow(lambda it: frugal(_fingerprints(it, n)), "doc_id long, th long, fp long")
 
 
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -142,7 +142,7 @@ def links(fps: DataFrame) -> DataFrame:
         ).alias("key"),
     )
     dealt = split.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda it: _verify(it, DISTANCE), "a long, b long").distinct()
+    return dealt.mapInArrow(lambda it: frugal(_verify(it, DISTANCE)), "a long, b long").distinct()
 
 
 def _groups(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

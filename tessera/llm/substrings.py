@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, partitions
+from .common import doc_texts, frugal, partitions
 from .wordhash import buffers, chunks, mix, roll, word_hashes
 
 WINDOW = 20
@@ -257,9 +257,9 @@ def repeats(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     """(k, th, start, n): n windows from word start on that occur earlier too."""
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = max(partitions(texts.sparkSession), -(-n_bytes // GROUP_BYTES))
-    suffixes = texts.select("k", "th", "text").mapInArrow(lambda it: _suffixes(it, 4 * n_groups, window, anchor), "g int, suffixes binary")
+    suffixes = texts.select("k", "th", "text").mapInArrow(lambda it: frugal(_suffixes(it, 4 * n_groups, window, anchor)), "g int, suffixes binary")
     dealt = suffixes.repartition(n_groups, F.when(F.col("g") < 0, -1 - F.col("g")).otherwise(F.col("g")))
-    return dealt.mapInArrow(_repeats, "k long, th int, start int, n int")
+    return dealt.mapInArrow(lambda it: frugal(_repeats(it)), "k long, th int, start int, n int")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
@@ -274,4 +274,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     )
     found = repeats(texts, window, anchor).groupBy("k", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     joined = texts.join(found, ["k", "th"], "left").select("doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns"))
-    return joined.mapInArrow(lambda it: _cut(it, window, digest), "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(lambda it: frugal(_cut(it, window, digest)), "doc_id long, n_words long, n_removed long, kept string")

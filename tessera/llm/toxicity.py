@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, pick
+from .common import doc_texts, frugal, pick
 from .wordhash import buffers, chunks, lower_bytes, mix, span_hashes, word_spans
 
 BUCKET_BITS = 18
 NGRAMS = (3, 4, 5)
 DIM = 8
-PER_CLASS = {0: 4000, 1: 1500}
+PER_CLASS = {0: 3500, 1: 1400}
 MOST_CHARS = 20_000
 EPOCHS = 10
 BATCH = 40
@@ -126,7 +126,10 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids.append(found.astype(np.int32))
         shares.append((sums / (sums.sum() + NEUTRAL)).astype(np.float32))
         bounds.append(bounds[-1] + len(found))
-    return np.concatenate(ids), np.concatenate(shares), np.array(bounds)
+    # One list at a time: driver memory is short.
+    every_id = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    del ids
+    return every_id, np.concatenate(shares) if shares else np.zeros(0, np.float32), np.array(bounds)
 
 
 def _odds(shares: np.ndarray) -> np.ndarray:
@@ -147,7 +150,8 @@ def train(texts: list[str], labels: np.ndarray, shares: list[float] | None = Non
     rng = np.random.default_rng(seed)
     ids, weights, bounds = _bags(texts)
     # Rows met in a few texts only would learn those texts by heart.
-    weights[np.bincount(ids, minlength=1 << BUCKET_BITS)[ids] < min(5, 1 + len(texts) // 400)] = 0
+    few = np.bincount(ids, minlength=1 << BUCKET_BITS) < min(5, 1 + len(texts) // 400)
+    weights[few[ids]] = 0
     table = np.zeros((1 << BUCKET_BITS, DIM), np.float32)
     table_seen = np.full((1 << BUCKET_BITS, 1), 1e-8, np.float32)
     soft = rng.choice([-1.0, 1.0], (DIM, classes)).astype(np.float32) / np.sqrt(DIM)
@@ -189,17 +193,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int
     labels: (doc_id, label) of distinct documents; at most per_class rows of each come to the driver.
     """
     texts = doc_texts(docs).where(F.length("text") <= MOST_CHARS)
-    # More ids than needed, since some of them may have no text here or a long one.
+    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total = max(1, sum(counts.values()))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(2**53)
     ids = None
     for c, n in per_class.items():
-        first = labels.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n)
+        # More ids than needed, since some of them may have no text here or a long one. The first by hash are picked
+        # in two steps, so that the ordering sees about three times as many as are wanted and not all labels.
+        near = labels.where((F.col("label") == c) & (place < min(1.0, 3 * n / max(1, counts.get(c, 0)) + 1e-6)))
+        first = near.orderBy(place, "doc_id").limit(2 * n)
         ids = first if ids is None else ids.unionByName(first)
     found = texts.join(F.broadcast(ids), "doc_id")  # at most 2 * sum(per_class) ids
-    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    total = max(1, sum(counts.values()))
     out: list[tuple[str, int]] = []
     for c, n in per_class.items():
-        best = found.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n)
+        best = found.where(F.col("label") == c).orderBy(place, "doc_id", "text").limit(n)
         out += [(r["text"], c) for r in best.select("text").collect()]
     return [t for t, _ in out], np.array([c for _, c in out], int), [counts.get(c, 0) / total for c in per_class]
 
@@ -221,7 +228,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = fit(docs, labels, label)
-    scored = doc_texts(docs).withColumn("held_out", held_out()).mapInArrow(lambda it: _score(it, model), "doc_id long, held_out boolean, score double")
+    scored = doc_texts(docs).withColumn("held_out", held_out()).mapInArrow(lambda it: frugal(_score(it, model)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -238,5 +245,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> D
     # Positions for names: Arrow batches may not hold names that differ in case only.
     names = [f"_c{i}" for i in range(len(docs.columns))]
     flat = docs.toDF(*names).withColumn("_scored", F.coalesce(F.col(names[docs.columns.index("text")]), F.lit("")))
-    kept = flat.mapInArrow(lambda it: _keep(it, model, "_scored"), flat.schema)
+    kept = flat.mapInArrow(lambda it: frugal(_keep(it, model, "_scored")), flat.schema)
     return kept.select(*names).toDF(*docs.columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import frugal, pick, short_batches
 
 _BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -438,6 +438,7 @@ def _extract(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.Rec
 def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     model = chain or default_chain()
+    short_batches(pages.sparkSession)
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    found = rows.mapInArrow(lambda it: _extract(it, model), "page_id long, url string, text string")
+    found = rows.mapInArrow(lambda it: frugal(_extract(it, model)), "page_id long, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))
