@@ -39,16 +39,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, let, partitions, pick, sql, written
+from .common import doc_texts, frugal, let, partitions, pick, sql, written
 from .wordhash import chunks
 
 SPACE = "▁"
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 FREQUENT = 100_000
-#: Words, and other things, that a task remembers at most.
-_WORDS = 800_000
-_CACHE = 200_000
-_CHUNK_BYTES = 4 << 20
+#: Words that a task remembers at most, and pairs and runs.
+_WORDS = 400_000
+_CACHE = 150_000
+#: Bits that tell, by hash, which words a task met before: only those are worth remembering.
+_MET = 1 << 23
+_CHUNK_BYTES = 2 << 20
+#: Words that a task counts before it passes their counts on.
+_COUNTED = 200_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -67,9 +71,13 @@ def merged(text: str, rank: dict[str, int]) -> list[str]:
     return parts
 
 
-def split_words(text: str) -> list[str]:
-    """The words of a text that is not empty, each without its first leading space."""
-    words = text.replace(SPACE, " ").split(" ")
+def split_words(text: str, lines: bool) -> list[str]:
+    """The words of a text that is not empty, in short form: see spaced().
+
+    With lines a word also ends before a line feed, for models without a piece that holds one.
+    """
+    text = text.replace(SPACE, " ")
+    words = (text.replace("\n", " \n") if lines else text).split(" ")
     if "" not in words:
         return words
     out, lead = [], 0
@@ -82,6 +90,12 @@ def split_words(text: str) -> list[str]:
     return [*out, " " * lead + words[-1]]
 
 
+def spaced(word: str, lines: bool) -> str:
+    """A word with its spaces written out; the short form leaves out one before anything but a line feed."""
+    bare = word.lstrip(" ")
+    return SPACE * (len(word) - len(bare) + (not (lines and bare[:1] == "\n"))) + bare
+
+
 @dataclass
 class Pieces:
     """The piece table: id and rank of each piece, ids of the 256 bytes, and what each id decodes to."""
@@ -92,35 +106,42 @@ class Pieces:
     out: list[bytes]
     longest: int
     whole: frozenset[str] = frozenset()
-    #: Ends of pieces, and pairs of characters that stand side by side in some piece.
-    tails: frozenset[str] = frozenset()
+    #: Ends of pieces, with 1 for those that are pieces themselves; pairs of characters that some piece holds.
+    kinds: dict[str, int] = field(default_factory=dict)
     inside: frozenset[str] = frozenset()
+    #: The piece of each id ('' for bytes), and each piece's id as bytes.
+    names: list[str] = field(default_factory=list)
+    lines: bool = True
+    id_bytes: dict[str, bytes] = field(default_factory=dict)
     fits: dict[str, dict[str, bool]] = field(default_factory=dict)
+    n_fits: int = 0
     runs: dict[str, bytes] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "fits": {}, "runs": {}}
+        return {**self.__dict__, "fits": {}, "n_fits": 0, "runs": {}}
 
     def follows(self, left: str, right: str) -> bool:
         """True if left and right stay apart when their characters are merged."""
-        known = self.fits.get(left)
-        if known is None:
-            if len(self.fits) > _CACHE:
-                self.fits.clear()
-            known = self.fits[left] = {}
+        if self.n_fits > _CACHE:
+            self.fits.clear()
+            self.n_fits = 0
+        known = self.fits.setdefault(left, {})
         found = known.get(right)
         if found is None:
             found = known[right] = merged(left + right, self.rank) == [left, right]
+            self.n_fits += 1
         return found
 
     def _viterbi(self, word: str) -> bytes:
         """The path through the lattice of characters that pieces may join."""
-        n, whole, tails, fits = len(word), self.whole, self.tails, self.fits
+        n, kinds, fits = len(word), self.kinds, self.fits
         last, back = [""] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(end - 1, -1, -1):
-                piece = word[start:end]
-                if piece in whole or start == end - 1:
+            start = end - 1
+            piece = word[start]
+            kind = kinds.get(piece, 1)  # a character is an edge, with a piece or without
+            while True:
+                if kind:
                     if start == 0:
                         break
                     known = fits.get(last[start])
@@ -129,18 +150,24 @@ class Pieces:
                         good = self.follows(last[start], piece)
                     if good:  # no other edge into this place has a finite score
                         break
-                if piece not in tails:  # no longer edge ends here; merging always leaves one that does
-                    raise AssertionError(f"no path into place {end} of {word!r}")
+                start -= 1
+                piece = word[start:end]
+                kind = kinds[piece]  # a longer edge must end here: merging always leaves one that does
             last[end], back[end] = piece, start
-        ids, at = [], n
+        path, at = [], n
         while at:
-            piece, at = last[at], back[at]
-            known_id = self.ids.get(piece)
-            ids += [known_id] if known_id is not None else [self.byte_ids[b] for b in reversed(piece.encode())]
-        return np.array(ids[::-1], np.int32).tobytes()
+            path.append(last[at])
+            at = back[at]
+        ids = self.id_bytes
+        return b"".join([ids[p] if p in ids else self._of_bytes(p) for p in reversed(path)])
+
+    def _of_bytes(self, character: str) -> bytes:
+        return np.array([self.byte_ids[b] for b in character.encode()], np.int32).tobytes()
 
     def encode_word(self, word: str) -> bytes:
         """The ids of a word as bytes of int32: the paths of its runs, cut where no piece joins two characters."""
+        if word[1:].isalpha():
+            return self._viterbi(word)
         inside, cuts = self.inside, [0]
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in inside:
@@ -158,21 +185,48 @@ class Pieces:
             out.append(ids)
         return b"".join(out)
 
-    def encode(self, text: str, known: dict[str, bytes]) -> np.ndarray:
-        """The ids of a text; known: those of words met, as bytes of int32, to which it adds."""
+    def _extend(self, word: str, known: dict[str, bytes]) -> bytes | None:
+        """The ids of a word whose path goes through the end of a known word, if one does.
+
+        Paths into a place depend on what stands before it only, so the path of
+        a known word and one more edge of finite score are the word's path.
+        """
+        kinds, fits = self.kinds, self.fits
+        for start in range(len(word) - 1, max(0, len(word) - self.longest), -1):
+            piece = word[start:]
+            kind = kinds.get(piece)
+            if kind is None:
+                return None
+            if kind:
+                before = known.get(word[:start])
+                if before is not None:
+                    left = self.names[before[-4] | before[-3] << 8 | before[-2] << 16] or word[start - 1]
+                    fit = fits.get(left)
+                    good = fit.get(piece) if fit is not None else None
+                    if good is None:
+                        good = self.follows(left, piece)
+                    if good:
+                        return before + self.id_bytes[piece]
+        return None
+
+    def encode(self, text: str, known: dict[str, bytes], met: bytearray | None = None) -> np.ndarray:
+        """The ids of a text; known: those of words, as bytes of int32, to which it adds words met before."""
         if not text:
             return np.zeros(0, np.int32)
-        words = split_words(text)
+        words = split_words(text, self.lines)
         out = list(map(known.get, words))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    w = words[i]
-                    ids = known.get(w)
-                    if ids is None:
-                        lead = len(w) - len(w.lstrip(" "))
-                        ids = known[w] = self.encode_word(SPACE * (lead + 1) + w[lead:])
-                    out[i] = ids
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            w = words[i]
+            ids = known.get(w)
+            if ids is None:
+                ids = (self._extend(w, known) if w[:1] != " " else None) or self.encode_word(spaced(w, self.lines))
+                if met is not None:
+                    bit = hash(w) % _MET
+                    if met[bit >> 3] >> (bit & 7) & 1:
+                        known[w] = ids
+                    else:
+                        met[bit >> 3] |= 1 << (bit & 7)
+            out[i] = ids
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -204,25 +258,48 @@ def load_pieces(path: str = MODEL) -> Pieces:
     made = Pieces(ids, rank, byte_ids, out, max(map(len, ids), default=1))
     # A piece that merging never ends in is no edge of a lattice.
     made.whole = frozenset(p for p in ids if len(p) == 1 or merged(p, rank) == [p])
-    made.tails = frozenset(p[i:] for p in made.whole for i in range(len(p)))
+    by_id = {i: p for p, i in ids.items()}
+    made.lines = not any("\n" in p for p in ids)
+    made.names = [by_id.get(i, "") for i in range(len(out))]
+    made.id_bytes = {p: np.int32(i).tobytes() for p, i in ids.items()}
+    made.kinds = {p[i:]: 0 for p in made.whole for i in range(len(p))} | dict.fromkeys(made.whole, 1)
     made.inside = frozenset(p[i : i + 2] for p in ids for i in range(len(p) - 1))
     return made
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], lines: bool) -> Iterator[pa.RecordBatch]:
+    n: Counter[str] = Counter()
+
+    def passed_on() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+        n.clear()
+        return out
+
     for batch in batches:
         for chunk in chunks(batch, "text", _CHUNK_BYTES):
-            n: Counter[str] = Counter()
             for t in chunk.column("text").to_pylist():
                 if t:
-                    n.update(split_words(t))
-            yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
-
-
-def frequent_words(texts: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """(word) of the most frequent words that occur twice or more, at most so many, as split_words() gives them."""
-    counted = texts.select("text").mapInArrow(_count, "word string, n long").where("length(word) <= 64")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word")
+                    n.update(split_words(t, lines))
+            if len(n) > _COUNTED:
+                yield passed_on()
+    yield passed_on()
+
+
+def frequent_words(texts: DataFrame, lines: bool = True, most: int = FREQUENT) -> DataFrame:
+    """(word) of words as split_words() gives them that occur often: at most so many, all above some count.
+
+    The count comes from a table of at most 1024 steps of counts, so no task
+    sees more words than its share.
+    """
+    counted = texts.select("text").mapInArrow(lambda it: frugal(_count(it, lines)), "word string, n long").where("length(word) <= 64")
+    words = written(counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", F.floor(16 * F.log2("n")).cast("int")))
+    left, least = most, None
+    for r in sorted(words.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["step"]
+    return words.where(F.lit(False) if least is None else F.col("step") >= least).select("word")
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -239,7 +316,8 @@ def _follow(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.Re
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, ids) of distinct words as split_words() gives them, by the lattice in Spark."""
     spark = words.sparkSession
-    given = words.select("word", sql(f"concat(repeat('{SPACE}', length(word) - length(ltrim(word)) + 1), ltrim(word))").alias("w"))
+    implied = "if(startswith(ltrim(word), '\\n'), 0, 1)" if pieces.lines else "1"
+    given = words.select("word", sql(f"concat(repeat('{SPACE}', length(word) - length(ltrim(word)) + {implied}), ltrim(word))").alias("w"))
     given = written(given).repartition(partitions(spark), "word")
     ids = _encode_spaced(given.select(F.col("w").alias("word")), pieces)
     return given.withColumnRenamed("w", "spaced").join(ids.withColumnRenamed("word", "spaced"), "spaced").select("word", "ids")
@@ -257,7 +335,7 @@ def _encode_spaced(words: DataFrame, pieces: Pieces) -> DataFrame:
         "array_distinct(flatten(transform(edges, a -> transform(filter(edges, b -> b.s = a.e), b -> struct(a.piece AS left, b.piece AS right)))))"
     ).alias("steps")))
     met = steps.select("word", F.explode("steps").alias("p")).select("word", "p.left", "p.right")
-    good = met.select("left", "right").distinct().mapInArrow(lambda it: _follow(it, pieces), "left string, right string")
+    good = met.select("left", "right").distinct().mapInArrow(lambda it: frugal(_follow(it, pieces)), "left string, right string")
     finite = met.join(good, ["left", "right"]).groupBy("word").agg(F.collect_set(F.struct("left", "right")).alias("finite"))
     joined = steps.join(finite, "word", "left").select("word", "edges", sql("coalesce(finite, cast(array() AS array<struct<left:string,right:string>>))").alias("finite"))
     place = "struct<piece:string,id:int,s:int>"
@@ -278,13 +356,13 @@ def _encode_spaced(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], pieces: Pieces, table: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
-    known = dict(table)
+    known, met = dict(table), bytearray(_MET >> 3)
     for batch in batches:
         for chunk in chunks(batch, "text", _CHUNK_BYTES):
             if len(known) > len(table) + _WORDS:
                 known = dict(table)
             texts = chunk.column("text").to_pylist()
-            ids = [pieces.encode(t, known) for t in texts]
+            ids = [pieces.encode(t, known, met) for t in texts]
             same = [pieces.decode(i) == t for i, t in zip(ids, texts, strict=True)]
             n = np.array([len(i) for i in ids], np.int64)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -297,9 +375,9 @@ def encode(docs: DataFrame, model: str = MODEL, most: int = FREQUENT) -> DataFra
     pieces = load_pieces(model)
     texts = doc_texts(docs)
     spark = docs.sparkSession
-    rows = encode_words(frequent_words(texts, most), pieces).collect()  # at most `most` short rows
+    rows = encode_words(frequent_words(texts, pieces.lines, most), pieces).collect()  # at most `most` short rows
     table = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], np.int32).tobytes() for r in rows})
-    return texts.mapInArrow(lambda it: _encode(it, pieces, table.value), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return texts.mapInArrow(lambda it: frugal(_encode(it, pieces, table.value)), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def _decode(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
@@ -312,4 +390,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, text of rows with doc_id and ids; null ids are the empty text."""
     pieces = load_pieces(model)
     rows = pick(encoded, "doc_id", "ids").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    return rows.mapInArrow(lambda it: _decode(it, pieces), "doc_id long, text string")
+    return rows.mapInArrow(lambda it: frugal(_decode(it, pieces)), "doc_id long, text string")
