@@ -20,6 +20,7 @@ kept; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -119,6 +120,12 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: (r.priority, r.regex)))
 
 
+def _always(regex: str) -> str:
+    """What of a regex stands in each of its matches: all but its groups, which may be optional or one of several."""
+    less = re.sub(r"\(\?:[^()]*\)\??", "", regex)
+    return less if less == regex else _always(less)
+
+
 def _gate() -> str:
     """A regex that finds the start of a word which every rule and base phrase holds one of.
 
@@ -127,7 +134,7 @@ def _gate() -> str:
     """
     keys = {"license", "licence", "cc"}
     for lic in LICENSES:
-        if not all("licen[sc]e" in n for n in lic.names):
+        if not all("licen[sc]e" in _always(n) for n in lic.names):
             keys.add(lic.keyword)
     by_letter: dict[str, list[str]] = {}
     for k in sorted(keys):

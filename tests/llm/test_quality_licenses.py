@@ -1,10 +1,11 @@
 import re
+import re._parser as sre
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.licenses import BASE, doubled, license_scan, rules
+from tessera.llm.licenses import BASE, _gate, doubled, license_scan, rules
 from tessera.llm.quality import Rule, quality_rules
 
 
@@ -85,3 +86,35 @@ def test_licenses(spark, docs, edge, empty):
     assert len(rules()) > 200 and license_scan(empty).count() == 0
     labels = {r.doc_id: r.labels for r in license_scan(df).where(F.col("doc_id") >= 1000).collect()}
     assert labels[1000] == "gpl-3,proprietary" and labels[1001] == "apache-2" and labels[1002] == "gpl-2"
+
+
+def matches(regex):
+    """All strings that a rule's regex matches; each is finite."""
+
+    def of(parts):
+        out = [""]
+        for op, arg in parts:
+            if op is sre.LITERAL:
+                each = [chr(arg)]
+            elif op is sre.IN:
+                each = [chr(c) for kind, x in arg for c in ([x] if kind is sre.LITERAL else range(x[0], x[1] + 1))]
+            elif op is sre.BRANCH:
+                each = [s for p in arg[1] for s in of(p)]
+            elif op is sre.SUBPATTERN:
+                each = of(arg[3])
+            elif op is sre.MAX_REPEAT and arg[:2] == (0, 1):
+                each = ["", *of(arg[2])]
+            else:
+                raise ValueError(op)
+            out = [a + b for a in out for b in each]
+        return out
+
+    return sorted(set(of(sre.parse(regex))), key=lambda s: (len(s), s))
+
+
+def test_gate_of_licenses(spark):
+    """The first gate lets every match of every rule through, the license's word in it or not."""
+    gate = re.compile(_gate().replace("\\\\", "\\"))
+    assert [s for r in rules() for s in matches(r.regex) if not gate.search(s)] == []
+    df = spark.createDataFrame([(1, "Released under BSD 3-Clause terms."), (2, "BSD Two-Clause"), (3, "freebsd")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan(df).collect()} == {1: "bsd-3-clause", 2: "bsd-2-clause", 3: ""}
