@@ -3,8 +3,9 @@
 A text is reduced to its words (lower-cased runs of 0-9, a-z and characters
 past ASCII), joined by one space, so a rule is a plain regex over words and its
 place is a word index. Rules come from a table of licenses and a table of
-wordings; a keyword that every rule of a license needs gates the license's
-rules, so most texts meet only one cheap test.
+wordings; a keyword that every name of a license needs gates the rules of its
+names, and one that every identifier needs those of its identifiers, so most
+texts meet only one cheap test.
 
 Overlaps: rules have a priority (base phrases first, then longer and more
 explicit wordings). A detection inside the interval of another one of higher
@@ -34,12 +35,13 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 
 @dataclass(frozen=True)
 class License:
-    """label; keyword: a string that each of its rules holds; names, ids: regexes over normal words."""
+    """label; keyword: a string that each of its names holds; names, ids: regexes over normal words; id_keyword: the ids', if another."""
 
     label: str
     keyword: str
     names: tuple[str, ...]
     ids: tuple[str, ...] = ()
+    id_keyword: str = ""
 
 
 #: Families by label, keyword, names in running text, and identifiers.
@@ -62,11 +64,11 @@ LICENSES = (
     License("agpl-3", "agpl", ("agpl ?v?3(?: 0)?",), ("agpl 3 0(?: only| or later)?",)),
     License("mpl-2", "mozilla", ("mozilla public licen[sc]e(?: version| v)? 2(?: 0)?",), ()),
     License("mpl-2", "mpl", ("mpl 2(?: 0)?",), ("mpl 2 0",)),
-    License("epl", "eclipse", ("eclipse public licen[sc]e(?: version| v)?(?: [12](?: 0)?)?",), ("epl [12] 0",)),
+    License("epl", "eclipse", ("eclipse public licen[sc]e(?: version| v)?(?: [12](?: 0)?)?",), ("epl [12] 0",), "epl"),
     License("cddl", "development", ("common development and distribution licen[sc]e",), ()),
     License("isc", "isc", ("isc licen[sc]e",), ("isc",)),
     License("zlib", "zlib", ("zlib(?: libpng)? licen[sc]e",), ("zlib",)),
-    License("boost", "boost", ("boost software licen[sc]e(?: version)?(?: 1 0)?",), ("bsl 1 0",)),
+    License("boost", "boost", ("boost software licen[sc]e(?: version)?(?: 1 0)?",), ("bsl 1 0",), "bsl"),
     License("unlicense", "unlicense", ("the unlicense", "unlicense org"), ("unlicense",)),
     License("wtfpl", "wtfpl", ("wtfpl(?: version 2)?",), ("wtfpl",)),
     License("artistic", "artistic", ("artistic licen[sc]e(?: 2 0)?",), ("artistic 2 0",)),
@@ -81,7 +83,7 @@ LICENSES = (
     License("cc-by-sa", "sharealike", ("creative commons attribution sharealike",), ()),
     License("cc-by", "creative", ("creative commons attribution licen[sc]e",), ()),
     License("public-domain", "domain", ("(?:released|placed|dedicated) (?:in|into|to) the public domain",), ()),
-    License("ofl-1.1", "sil", ("sil open font licen[sc]e(?: version 1 1)?",), ("ofl 1 1",)),
+    License("ofl-1.1", "sil", ("sil open font licen[sc]e(?: version 1 1)?",), ("ofl 1 1",), "ofl"),
     License("proprietary", "rights", ("all rights reserved",), ()),
 )
 
@@ -114,7 +116,7 @@ def rules() -> tuple[Rule, ...]:
     out = []
     for order, lic in enumerate(LICENSES):
         for k, (wording, score) in enumerate(ID_WORDINGS):
-            out += [Rule(10 + 100 * k + order, lic.label, lic.keyword, wording.replace("{i}", f"(?:{i})"), score) for i in lic.ids]
+            out += [Rule(10 + 100 * k + order, lic.label, lic.id_keyword or lic.keyword, wording.replace("{i}", f"(?:{i})"), score) for i in lic.ids]
         for k, (wording, score) in enumerate(WORDINGS):
             out += [Rule(300 + 100 * k + order, lic.label, lic.keyword, wording.replace("{n}", f"(?:{n})"), score) for n in lic.names]
     return tuple(sorted(out, key=lambda r: (r.priority, r.regex)))

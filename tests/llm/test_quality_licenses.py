@@ -118,3 +118,15 @@ def test_gate_of_licenses(spark):
     assert [s for r in rules() for s in matches(r.regex) if not gate.search(s)] == []
     df = spark.createDataFrame([(1, "Released under BSD 3-Clause terms."), (2, "BSD Two-Clause"), (3, "freebsd")], "doc_id long, text string")
     assert {r.doc_id: r.labels for r in license_scan(df).collect()} == {1: "bsd-3-clause", 2: "bsd-2-clause", 3: ""}
+
+
+def test_keywords_of_licenses(spark):
+    """Every match of a rule holds the rule's keyword, and a text of each rule's shortest match gets what the rules without gates give."""
+    assert [(r.keyword, s) for r in rules() for s in matches(r.regex) if r.keyword not in s] == []
+    texts = [matches(r.regex)[0] for r in rules()] + ["SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: BSL-1.0", "SPDX-License-Identifier: OFL-1.1"]
+    rows = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.doc_id: tuple(r)[1:-1] for r in rows}
+    assert [t for i, t in enumerate(texts) if repr(found[i]) != repr(scan(t))] == []
+    for i, r in enumerate(rules()):
+        assert any(r.label == d[3] for d in next(x for x in rows if x.doc_id == i).detections), texts[i]
+    assert [found[len(texts) - 3 + i][-2] for i in range(3)] == ["epl", "boost", "ofl-1.1"]
