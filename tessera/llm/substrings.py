@@ -15,7 +15,7 @@ passes on one of each, so a passage that a third of all rows hold reaches its
 subtree as a few suffixes a task, not one a row.
 
 Texts travel once, at the end, to the repeats found in them. Windows are told
-apart by 64 bits of anchor and 44 bits of window and place.
+apart by 64 bits of anchor, 64 bits of window and the anchor's place in it.
 
 Defined cases: null and empty texts have no words; a text of under 20 words has
 no window and loses nothing. A null doc_id counts as the largest. Rows of one
@@ -155,7 +155,7 @@ def _suffixes_of(chunk: pa.RecordBatch, n_groups: int, window: int, anchor: int,
     by = np.argsort(group, kind="stable")
     rec, first, n = rec[by], a[by], n[by]
     item, part = _expand(n)
-    edges = w[i[first[item] + part]].view(np.uint8).reshape(-1, 8)[:, :5]
+    edges = w[i[first[item] + part]]
     bounds = np.searchsorted(group[by], np.arange(n_groups + 1))
     ends = np.concatenate([[0], np.cumsum(n)])
     for b in np.flatnonzero(np.diff(bounds)):
@@ -195,13 +195,10 @@ def _subtree(recs: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
         return np.zeros(0, _SPAN)
     rec, frm = rec[pick], ends[pick] - rec["n"][pick]
     item, part = _expand(rec["n"])
-    node = np.zeros((len(item), 8), np.uint8)
-    node[:, :5] = edge[frm[item] + part]
-    node[:, 5] = (rec["off"][item] - part).astype(np.uint8)
-    node = node.view(np.uint64).ravel()
+    node, off = edge[frm[item] + part], (rec["off"][item] - part).astype(np.uint8)
     key, k, th, start = rec["key"][item], rec["k"][item], rec["th"][item], rec["start"][item] + part.astype(np.int32)
-    by = np.lexsort((start, th, k, node, key))
-    new = np.concatenate([[True], (key[by[1:]] != key[by[:-1]]) | (node[by[1:]] != node[by[:-1]])])
+    by = np.lexsort((start, th, k, off, node, key))
+    new = np.concatenate([[True], (key[by[1:]] != key[by[:-1]]) | (node[by[1:]] != node[by[:-1]]) | (off[by[1:]] != off[by[:-1]])])
     first = by[np.flatnonzero(new)][np.cumsum(new) - 1]
     again = by[(k[by] != k[first]) | (th[by] != th[first]) | (start[by] != start[first])]
     if not len(again):
@@ -223,7 +220,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = int(np.frombuffer(raw, np.int32, 1)[0])
             recs, edges = groups.setdefault(g, ([], []))
             recs.append(np.frombuffer(raw, _SUFFIX, n, 4))
-            edges.append(np.frombuffer(raw, np.uint8, offset=4 + n * _SUFFIX.itemsize).reshape(-1, 5))
+            edges.append(np.frombuffer(raw, np.uint64, offset=4 + n * _SUFFIX.itemsize))
     while groups:
         yield from _spans_batch(_subtree(*groups.pop(next(iter(groups)))))
 

@@ -2,10 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tessera.llm import substrings
 from tessera.llm.components import components
 from tessera.llm.simhash import _forest, fingerprint, keep_one, links, simhash_near_dedup
 from tessera.llm.substrings import substring_dedup
@@ -171,6 +173,29 @@ def test_kept_text(spark):
     assert {r.doc_id: r.kept for r in substring_dedup(df).collect()} == {1: p, 2: "a b c"}
 
 
+def repeated(texts, n_groups=8, **more):
+    """The groups that texts, each read by a task of its own, are dealt to, and the repeats found in them."""
+    dealt = []
+    for i, t in enumerate(texts):
+        batch = pa.record_batch([pa.array([i], pa.int64()), pa.array([0], pa.int32()), pa.array([t])], names=["k", "th", "text"])
+        dealt += substrings._suffixes(iter([batch]), n_groups, 20, 8, **more)
+    return dealt, sorted(tuple(r.values()) for b in substrings._repeats(iter(dealt)) for r in b.to_pylist())
+
+
+def hot_texts(n):
+    """Texts that share 18 words and differ around them; the last repeats the first."""
+    hot = " ".join(f"hot{i}" for i in range(18))
+    texts = [" ".join(f"a{j}x{i}" for i in range(12)) + f" {hot} " + " ".join(f"b{j}x{i}" for i in range(12)) for j in range(n)]
+    return [*texts, texts[0]]
+
+
+def test_windows_that_differ_in_high_bits(monkeypatch):
+    """Windows below one anchor at one place are told apart by all bits of their hash."""
+    monkeypatch.setattr(substrings, "roll", lambda h, n: roll(h, n) & np.uint64(2**64 - 2**40) if n == 20 else roll(h, n))
+    found = repeated(hot_texts(40))[1]
+    assert {r[0] for r in found} == {40} and sum(r[3] for r in found) == 23
+
+
 def test_word_hashes():
     texts = [b"one two", b"", b" two\tthree ", b"x" * 3000 + b" one"]
     off = np.cumsum([0, *map(len, texts)])
