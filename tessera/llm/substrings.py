@@ -4,15 +4,19 @@ A suffix is kept for each *anchor*: the 8-word run of least hash inside a window
 of 20 words. A window's anchor depends on the window's words alone, so equal
 windows hang below the same anchor, and one suffix speaks for the several
 neighbouring windows that share its anchor. Suffixes are dealt out by a prefix
-of their anchor's hash, as long a prefix as makes groups of a set size; a group
-is one subtree. A subtree's edges are the windows below the anchor: those met
+of their anchor's hash, in as many groups as the text's bytes ask for; a group
+is one subtree. A first pass counts the windows below each of many finer
+prefixes; below one that holds too many, the prefix is lengthened by the whole
+window: each window is a suffix of its own there, dealt by its own hash. A subtree's edges are the windows below the anchor: those met
 twice are its deep internal nodes, and each occurrence but the first (smallest
 doc_id, then start) is a repeat. Anchors met once have no internal node and are
 dropped at once. Neighbouring repeats are joined to maximal ones.
 
 Skew: each task first settles the windows that repeat within what it reads, and
 passes on one of each, so a passage that a third of all rows hold reaches its
-subtree as a few suffixes a task, not one a row.
+subtree as a few suffixes a task, not one a row. The windows over the passage's
+ends differ in each row and are not settled so; they share few anchors, whose
+prefixes are the ones that the count makes longer.
 
 Texts travel once, at the end, to the repeats found in them. Windows are told
 apart by 64 bits of anchor, 64 bits of window and the anchor's place in it.
@@ -41,6 +45,11 @@ ANCHOR = 8
 #: Bytes of text that a map step holds as arrays, and that one subtree stands for.
 CHUNK_BYTES = 6 << 20
 GROUP_BYTES = 24 << 20
+#: Groups of a subtree's share, prefixes counted for each, and the windows that one prefix may hold.
+SPREAD = 4
+FINER = 16
+MOST_WINDOWS = 500_000
+SEGMENT = 4096
 _NULL_ID = 2**63 - 1
 _GROUPS = pa.schema([("g", pa.int32()), ("suffixes", pa.binary())])
 _REPEATS = pa.schema([("k", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
@@ -89,8 +98,14 @@ class _Seen:
         self.h, self.at = both, np.concatenate([self.at, at[:room]])[where]
 
 
-def _suffixes_of(chunk: pa.RecordBatch, n_groups: int, window: int, anchor: int, seen: _Seen) -> Iterator[tuple[int, bytes]]:
-    """The suffixes of a chunk's texts by group (and, as group -1, the repeats within the chunk)."""
+def _part(h: np.ndarray, n: int) -> np.ndarray:
+    """The leading part of hashes, mixed anew, as one of n: anchors are minima, so their own top bits are low."""
+    return ((mix(h) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _records(chunk: pa.RecordBatch, window: int, anchor: int, seen: _Seen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The repeats within a chunk's texts, the suffixes of the rest, and the windows' hashes suffix by suffix."""
+    none = np.zeros(0, _SPAN), np.zeros(0, _SUFFIX), np.zeros(0, np.uint64)
     ids = chunk.column("k").to_numpy(zero_copy_only=False)
     ths = chunk.column("th").to_numpy(zero_copy_only=False)
     order = np.lexsort((ths, ids))
@@ -103,7 +118,7 @@ def _suffixes_of(chunk: pa.RecordBatch, n_groups: int, window: int, anchor: int,
     to = np.cumsum(counts)
     frm = to - counts
     if len(h) < window:
-        return
+        return none
     w, g = roll(h, window), roll(h, anchor)
     # Windows that stay inside one text.
     edge = np.zeros(len(h) + 1, np.int32)
@@ -111,7 +126,7 @@ def _suffixes_of(chunk: pa.RecordBatch, n_groups: int, window: int, anchor: int,
     np.add.at(edge, to, -1)
     at = np.flatnonzero(np.cumsum(edge)[: len(w)] == 0)
     if not len(at):
-        return
+        return none
     best, off_best = g[: len(w)].copy(), np.zeros(len(w), np.uint8)
     for j in range(1, window - anchor + 1):
         less = g[j : j + len(w)] < best
@@ -131,17 +146,17 @@ def _suffixes_of(chunk: pa.RecordBatch, n_groups: int, window: int, anchor: int,
     seen.add(wv[lead], place[lead])
 
     rep = np.flatnonzero(again)
+    spans = none[0]
     if len(rep):
         a, n = _runs((np.diff(at[rep]) != 1) | (np.diff(doc[rep]) != 0))
         spans = np.empty(len(a), _SPAN)
         for c in ("k", "th", "start"):
             spans[c] = place[rep[a]][c]
         spans["n"] = n
-        yield -1, spans.tobytes()
 
     keep = np.flatnonzero(~again)
     if not len(keep):
-        return
+        return spans, *none[1:]
     i = at[keep]
     anchor_at = i + off_best[i]
     a, n = _runs((np.diff(i) != 1) | (np.diff(anchor_at) != 0))
@@ -150,24 +165,67 @@ def _suffixes_of(chunk: pa.RecordBatch, n_groups: int, window: int, anchor: int,
     for c in ("k", "th", "start"):
         rec[c] = place[keep[a]][c]
     rec["off"], rec["n"] = off_best[i[a]], n
-    # A group is the leading part of the anchor's hash, mixed anew: anchors are minima, so their own top bits are low.
-    group = ((mix(rec["key"].copy()) >> np.uint64(32)) * np.uint64(n_groups) >> np.uint64(32)).astype(np.int64)
+    return spans, rec, w[i]
+
+
+def _suffixes_of(chunk: pa.RecordBatch, n_groups: int, window: int, anchor: int, seen: _Seen, heavy: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The suffixes of a chunk's texts by group (and, as group -1, the repeats within the chunk)."""
+    spans, rec, edges = _records(chunk, window, anchor, seen)
+    if len(spans):
+        yield -1, spans.tobytes()
+    if not len(rec):
+        return
+    group = _part(rec["key"], n_groups)
+    if len(heavy):
+        split = np.isin(_part(rec["key"], n_groups * FINER), heavy)
+        if split.any():
+            # Each window below a heavy prefix becomes a suffix of its own.
+            item, part = _expand(np.where(split, rec["n"], 1))
+            at = (np.cumsum(rec["n"], dtype=np.int64) - rec["n"])[item] + part
+            rec, group, split = rec[item], group[item], split[item]
+            rec["start"] += part.astype(np.int32)
+            rec["off"] -= part.astype(np.uint8)
+            rec["n"][split] = 1
+            group[split] = _part(rec["key"][split] ^ edges[at[split]], n_groups)
     by = np.argsort(group, kind="stable")
-    rec, first, n = rec[by], a[by], n[by]
-    item, part = _expand(n)
-    edges = w[i[first[item] + part]]
+    first = (np.cumsum(rec["n"], dtype=np.int64) - rec["n"])[by]
+    rec = rec[by]
+    item, part = _expand(rec["n"])
+    edges = edges[first[item] + part]
     bounds = np.searchsorted(group[by], np.arange(n_groups + 1))
-    ends = np.concatenate([[0], np.cumsum(n)])
+    ends = np.concatenate([[0], np.cumsum(rec["n"], dtype=np.int64)])
     for b in np.flatnonzero(np.diff(bounds)):
         lo, hi = bounds[b], bounds[b + 1]
         yield int(b), np.int32(hi - lo).tobytes() + rec[lo:hi].tobytes() + edges[ends[lo] : ends[hi]].tobytes()
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], n_groups: int, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch], n_prefixes: int, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """The windows that this task passes on below each prefix, SEGMENT prefixes a row."""
+    seen, n = _Seen(), np.zeros(n_prefixes, np.int64)
+    for batch in batches:
+        for chunk in chunks(batch, "text", CHUNK_BYTES):
+            _, rec, _ = _records(chunk, window, anchor, seen)
+            np.add.at(n, _part(rec["key"], n_prefixes), rec["n"])
+    starts = range(0, n_prefixes, SEGMENT)
+    yield pa.record_batch([pa.array(starts, pa.int64()), pa.array([n[i : i + SEGMENT].tobytes() for i in starts], pa.binary())], names=["start", "n"])
+
+
+def _heavy(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The prefixes that hold more windows than most, over all tasks."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for start, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n = np.frombuffer(raw, np.int64)
+            sums[start] = sums[start] + n if start in sums else n
+    for start, n in sums.items():
+        yield pa.record_batch([pa.array(start + np.flatnonzero(n > most), pa.int64())], names=["prefix"])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], n_groups: int, window: int, anchor: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
     seen, turn = _Seen(), 0
     for batch in batches:
         for chunk in chunks(batch, "text", CHUNK_BYTES):
-            out = list(_suffixes_of(chunk, n_groups, window, anchor, seen))
+            out = list(_suffixes_of(chunk, n_groups, window, anchor, seen, heavy))
             if out:
                 # Repeats that are settled go to any group; the sign tells them apart.
                 turn += 1
@@ -254,7 +312,12 @@ def repeats(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     """(k, th, start, n): n windows from word start on that occur earlier too."""
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = max(partitions(texts.sparkSession), -(-n_bytes // GROUP_BYTES))
-    suffixes = texts.select("k", "th", "text").mapInArrow(lambda it: frugal(_suffixes(it, 4 * n_groups, window, anchor)), "g int, suffixes binary")
+    rows, parts = texts.select("k", "th", "text"), SPREAD * n_groups
+    counts = rows.mapInArrow(lambda it: frugal(_counts(it, parts * FINER, window, anchor)), "start long, n binary")
+    most = MOST_WINDOWS
+    many = counts.repartition(partitions(texts.sparkSession), "start").mapInArrow(lambda it: _heavy(it, most), "prefix long").collect()
+    heavy = np.array([r["prefix"] for r in many], np.int64)
+    suffixes = rows.mapInArrow(lambda it: frugal(_suffixes(it, parts, window, anchor, heavy)), "g int, suffixes binary")
     dealt = suffixes.repartition(n_groups, F.when(F.col("g") < 0, -1 - F.col("g")).otherwise(F.col("g")))
     return dealt.mapInArrow(lambda it: frugal(_repeats(it)), "k long, th int, start int, n int")
 

@@ -173,12 +173,12 @@ def test_kept_text(spark):
     assert {r.doc_id: r.kept for r in substring_dedup(df).collect()} == {1: p, 2: "a b c"}
 
 
-def repeated(texts, n_groups=8, **more):
+def repeated(texts, n_groups=8, heavy=()):
     """The groups that texts, each read by a task of its own, are dealt to, and the repeats found in them."""
     dealt = []
     for i, t in enumerate(texts):
         batch = pa.record_batch([pa.array([i], pa.int64()), pa.array([0], pa.int32()), pa.array([t])], names=["k", "th", "text"])
-        dealt += substrings._suffixes(iter([batch]), n_groups, 20, 8, **more)
+        dealt += substrings._suffixes(iter([batch]), n_groups, 20, 8, np.array(heavy, np.int64))
     return dealt, sorted(tuple(r.values()) for b in substrings._repeats(iter(dealt)) for r in b.to_pylist())
 
 
@@ -196,6 +196,35 @@ def test_windows_that_differ_in_high_bits(monkeypatch):
     assert {r[0] for r in found} == {40} and sum(r[3] for r in found) == 23
 
 
+def held(batches, n_groups):
+    """The windows that each group holds."""
+    n = [0] * n_groups
+    for b in batches:
+        for g, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if g >= 0:
+                n[g] += int(np.frombuffer(raw, substrings._SUFFIX, int(np.frombuffer(raw, np.int32, 1)[0]), 4)["n"].sum())
+    return n
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """A prefix that holds too many windows is dealt to all groups, and the repeats stay the same."""
+    texts = hot_texts(400)
+    whole, found = repeated(texts)
+    batches = [pa.record_batch([pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([t])], names=["k", "th", "text"]) for t in texts]
+    counts = [c for b in batches for c in substrings._counts(iter([b]), 8 * substrings.FINER, 20, 8)]
+    assert sum(held(whole, 8)) == 401 * 23
+    heavy = [r["prefix"] for b in substrings._heavy(iter(counts), 500) for r in b.to_pylist()]
+    split, again = repeated(texts, heavy=heavy)
+    windows = lambda spans: sorted((k, start + i) for k, _, start, n in spans for i in range(n))
+    assert windows(again) == windows(found) and sum(held(split, 8)) == sum(held(whole, 8))
+    assert max(held(whole, 8)) > 1.5 * sum(held(whole, 8)) / 8 and max(held(split, 8)) < 1.5 * sum(held(whole, 8)) / 8
+    monkeypatch.setattr(substrings, "MOST_WINDOWS", 20)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert check_substrings(df) == 42
+    rows = [(i // 2, t) for i, t in enumerate([*texts, *(" ".join("ab"[i * j % 7 == 0] for i in range(90)) for j in range(60))])]
+    assert check_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) > 1000
+
+
 def test_word_hashes():
     texts = [b"one two", b"", b" two\tthree ", b"x" * 3000 + b" one"]
     off = np.cumsum([0, *map(len, texts)])
