@@ -1,7 +1,9 @@
 """Mixing sources to target weights by soft membership.
 
-A classifier trained on the labelled table predicts for each document the
-posterior of its domains: clean, poor (labels.quality 0) and toxic. A document
+A classifier trained on the labelled ones of the given documents predicts for
+each document the posterior of its domains: clean, poor (labels.quality 0) and
+toxic. Labels of other documents count neither for the domains' shares nor for
+the sample. A document
 of n words then has n times its posteriors as expected tokens of the domains.
 Rates are fitted so that the expected tokens, times the rates, meet the target
 totals: least squares under bounds, by projected gradient steps. The metric of
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, pick, written
+from .common import forget, frugal, pick, written
 from .toxicity import CHUNK_BYTES, Model, train, training_sample
 from .wordhash import chunks
 
@@ -63,7 +65,10 @@ def _posteriors(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.
 
 def with_posteriors(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """The columns to keep (as _c0, _c1, ...), n_tokens and a posterior p_<domain> for each domain."""
-    model = train(*training_sample(docs, domains_of(labels), PER_DOMAIN), classes=len(DOMAINS))
+    here = pick(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = written(domains_of(labels).join(here, "doc_id", "left_semi"))
+    model = train(*training_sample(docs, known, PER_DOMAIN), classes=len(DOMAINS))
+    forget(known)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     every = docs.toDF(*names)
     text = F.coalesce(F.col(names[docs.columns.index("text")]), F.lit(""))

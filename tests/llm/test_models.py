@@ -69,6 +69,20 @@ def test_mixing_meets_targets(spark):
     rows.unpersist()
 
 
+def test_mixing_counts_its_own_documents(spark, monkeypatch):
+    """Shares and sample are of the labelled documents that the stage is given, not of all labels."""
+    labels = load(spark, SF, "labels")
+    domain = {r.doc_id: r.label for r in mixing.domains_of(labels).collect()}
+    docs = load(spark, SF, "documents")
+    docs = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").where("doc_id % 3 > 0").select(docs.columns)
+    given = []
+    monkeypatch.setattr(mixing, "train", lambda texts, y, shares, classes: given.append((len(texts), shares)) or toxicity.train(texts, y, shares, classes))
+    rows = mixing.mixing(docs, labels).collect()
+    at = [domain[r.doc_id] for r in rows if r.doc_id in domain]
+    assert at and given[0][1] == pytest.approx([at.count(c) / len(at) for c in range(3)])
+    assert sum(r.n_tokens * r.p_toxic for r in rows) < 1e-3 * sum(r.n_tokens for r in rows)
+
+
 def test_mixing_out_of_reach(spark):
     """Targets that bounds keep from being met: the rates go to their bounds."""
     df = spark.createDataFrame([(100, 1.0, 0.0, 0.0), (10, 0.0, 1.0, 0.0), (10, 0.0, 0.0, 1.0)], "n_tokens long, p_clean double, p_poor double, p_toxic double")
