@@ -12,8 +12,8 @@ Each page is read by itself in Arrow batches: no shuffle, memory of a page at a
 time. The model is a dictionary of a few thousand weights, of fixed size.
 
 Defined cases: null and empty pages, and pages without text, give an empty
-text. Unclosed tags, comments and scripts end with the page. Repeated rows each
-get a row; a null page_id is kept; other columns are ignored.
+text. Unclosed comments and scripts end with the page, other unclosed tags with
+their parent. Repeated rows each get a row; a null page_id is kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,15 +35,15 @@ from .common import frugal, pick, short_batches
 _BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot "
-    "th thead tr ul".split()
+    "th thead tr ul noscript object canvas".split()
 )
 #: Elements whose content is no text of the page.
-_DROPPED = frozenset("script style noscript template svg math iframe object canvas select textarea head title audio video map".split())
+_DROPPED = frozenset("script style template svg iframe select textarea title audio video".split())
 #: Those whose content is not markup either.
-_RAW = frozenset("script style textarea title iframe noscript".split())
+_RAW = frozenset("script style textarea title iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element on the left ends where one of the right begins.
-_ENDS = {"p": _BLOCK_TAGS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+_ENDS = {"p": _BLOCK_TAGS - {"html", "body", "noscript", "object", "canvas"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|aria-label|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -63,7 +63,22 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked, in_link, dropped, at, n = 0, False, 0, 0, len(page)
+    linked, in_link, at, n = 0, False, 0, len(page)
+    # The open dropped element and what is open in it; the open elements that are no blocks, by tag.
+    dropped: list[str] = []
+    inline: dict[str, int] = {}
+
+    def ends_dropped(closing: str, tag: str) -> bool:
+        """Whether a tag ends the dropped element's parent, and so the element, or cannot stand in the element."""
+        if closing:
+            return tag in ("html", "body") or inline.get(tag, 0) > 0 or any(tag == t for t, _ in stack)
+        if tag == "body":
+            return True
+        if dropped[0] == "template" or tag not in _BLOCK_TAGS:
+            return False
+        if dropped[0] in ("svg", "select"):
+            return "foreignobject" not in dropped
+        return bool(stack) and tag in _ENDS.get(stack[-1][0], ()) and _BLOCK_TAGS.isdisjoint(dropped)
 
     def close() -> None:
         nonlocal linked, in_link
@@ -103,20 +118,26 @@ def blocks(page: str) -> list[Block]:
             continue
         at = m.end()
         closing, tag, attributes = m[1], m[2].lower(), m[3]
-        if tag in _DROPPED:
-            if closing:
-                dropped = max(0, dropped - 1)
-            elif not attributes.endswith("/"):
-                if tag in _RAW:
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at = n if end is None else end.end()
-                else:
-                    dropped += 1
+        if tag in _RAW:
+            if not closing and not attributes.endswith("/"):
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = n if end is None else end.end()
             continue
-        if tag == "body":
-            dropped = 0
         if dropped:
+            if closing and tag in dropped:
+                del dropped[len(dropped) - 1 - dropped[::-1].index(tag) :]
+                continue
+            if not ends_dropped(closing, tag):
+                if not closing and tag not in _VOID and not attributes.endswith("/"):
+                    dropped.append(tag)
+                continue
+            dropped.clear()
+        if tag in _DROPPED:
+            if not closing and not attributes.endswith("/"):
+                dropped.append(tag)
             continue
+        if tag not in _BLOCK_TAGS and tag not in _VOID:
+            inline[tag] = max(0, inline.get(tag, 0) + (-1 if closing else 1))
         if tag == "a":
             in_link = not closing
         elif tag == "br":

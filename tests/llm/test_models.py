@@ -203,6 +203,19 @@ def test_blocks():
     assert [b.text for b in webtext.blocks("<p>a b \t\n c</p><p class='")] == ["a b c"]
 
 
+def test_blocks_of_odd_pages():
+    """Optional tags of the head, unclosed elements without text, and elements whose words are text."""
+    of = lambda page: [b.text for b in webtext.blocks(page)]
+    assert of("<html><head><title>T</title><style>p{}</style><article><p>one<p>two</article>") == ["one", "two"]
+    for tag in ("object", "select", "svg", "video", "audio", "template", "math", "canvas", "noscript", "map"):
+        assert of(f"<body><div><{tag} class=x></div><p>one</p><div>two</div>")[-2:] == ["one", "two"], tag
+        assert of(f"<body><p><span><{tag}></span> one</p><p>two</p>")[-2:] == ["one", "two"], tag
+    assert of("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p><noscript><p>no script</p></noscript><object>an object</object><canvas>a chart</canvas>") == [
+        "if x=1 then", "no script", "an object", "a chart",
+    ]
+    assert of("<div>a<svg><g><text>no</text></g><path/></svg>b<select><option>no<option>no</select>c<video><p>no</p></video>d<template><p>no</template>e") == ["abcde"]
+
+
 def test_page_parts_are_left_out():
     page = (
         "<body><header>Site name</header><div class='cookie-notice'>We use cookies on this site. Please agree.</div><nav><a href=/>Home</a></nav>"
