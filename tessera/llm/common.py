@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,20 +71,36 @@ def frugal(batches: Iterator) -> Iterator:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine only where none is set."""
+    """The folder in spark.checkpoint.dir; one of this machine only where none is set and executors share its disk."""
     if spark.sparkContext.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="tessera-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Paths of the tables that written() made and nobody deleted.
+_KEPT: list[str] = []
+
+
+def _path(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """Hadoop's file system and path."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read back.
 
-    Cuts lineage: a lost executor costs a read, not a recomputation.
+    Cuts lineage: a lost executor costs a read, not a recomputation. The files
+    go with forget() or stage_written(), or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"t-{uuid.uuid4().hex}")
+    fs, at = _path(spark, path)
+    fs.deleteOnExit(at)
+    _KEPT.append(path)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_path = path
@@ -91,9 +109,26 @@ def written(df: DataFrame) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Deletes the files of a DataFrame that written() returned and nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.written_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
+    fs.cancelDeleteOnExit(at)
+    if path in _KEPT:
+        _KEPT.remove(path)
+
+
+def stage_written(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage's result, written; deletes all that the stage wrote on its way, and docs if written() made it."""
+    before = set(_KEPT)
+    out = written(stage(docs))
+    for path in [p for p in _KEPT if p not in before and p != out.written_path]:
+        _delete(docs.sparkSession, path)
+    if hasattr(docs, "written_path"):
+        forget(docs)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,28 +6,33 @@ toxic. Labels of other documents count neither for the domains' shares nor for
 the sample. A document
 of n words then has n times its posteriors as expected tokens of the domains.
 Rates are fitted so that the expected tokens, times the rates, meet the target
-totals: least squares under bounds, by projected gradient steps. The metric of
-the residual is the inverse of the tokens' second moments, which makes 1 a safe
-step and a document's step a product of its few posteriors with one small
-vector; so the rates need not be stored between steps. A step is one pass over
+totals: least squares under bounds, by projected gradient steps. A document's
+step is a product of its few posteriors with one small vector, so the rates need
+not be stored between steps. A step is one pass over
 narrow rows that returns a few sums, and a rate is a function of its own row:
 there is no shuffle and no join, and a hot source or domain is just many rows.
 
 Targets are weights; the first domain's total stays what it is, the others
-follow. Rates stay at or above 0, at or above 1 for documents whose first domain
-is the likeliest (they are never dropped), and at or below a most for each
-domain. A rate becomes a number of copies by a hash of doc_id and length, with the
-rate as its expectation.
-
-Defined cases: null and empty texts have no tokens and keep rate 1. Without
-labels all posteriors are equal. Labels that are null do not count; of several
-for a doc_id the worst does. Repeated rows each get a row; other columns are
-ignored by the fit and kept by ``mixed``.
+follow. Rates stay at or above 0; further bounds are parameters and off unless
+given: a most for each domain, and a least rate for documents whose first domain
+is the likeliest (the corpus pipeline gives 1 there, so that none of them is
+dropped). How far the fit stays from the targets is returned with it. A rate
+becomes a number of copies by a hash of doc_id and length, with the rate as its
+expectation.
+
+Defined cases: null and empty texts have no tokens and keep rate 1. Texts are
+read whole, whatever their length. Without labels all posteriors are equal.
+Labels that are null do not count; of several for a doc_id the worst does. Of
+domains that are equally likely the first named counts as the likeliest. Empty
+tables give no rows. Repeated rows each get a row; other columns are ignored by
+the fit, whatever their names, and kept by ``mixed``.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +40,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, frugal, pick, written
-from .toxicity import CHUNK_BYTES, Model, train, training_sample
+from .toxicity import CHUNK_BYTES, Model, trained
 from .wordhash import chunks
 
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.95, "poor": 0.04, "toxic": 0.01}
-MOST_RATE = {"clean": 4.0, "poor": 1.0, "toxic": 1.0}
 #: Labelled texts of each domain that the classifier learns from, at most.
 PER_DOMAIN = {0: 1800, 1: 900, 2: 700}
 STEPS = 20
 CLOSE = 1e-4
+#: The share of a step from which on it is made smaller no more.
+SMALLEST = 1e-3
+#: From this residual on a fit says so in the log.
+OUT_OF_REACH = 1e-2
+_LOG = logging.getLogger(__name__)
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -67,7 +76,7 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, keep: list[str]) -> Data
     """The columns to keep (as _c0, _c1, ...), n_tokens and a posterior p_<domain> for each domain."""
     here = pick(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"))
     known = written(domains_of(labels).join(here, "doc_id", "left_semi"))
-    model = train(*training_sample(docs, known, PER_DOMAIN), classes=len(DOMAINS))
+    model = trained(docs, known, PER_DOMAIN)
     forget(known)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     every = docs.toDF(*names)
@@ -79,28 +88,42 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, keep: list[str]) -> Data
     return flat.mapInArrow(lambda it: frugal(_posteriors(it, model)), schema)
 
 
-def _bounds(names: list[str], most: dict[str, float]) -> tuple[Column, Column]:
+def _bounds(names: list[str], most: dict[str, float] | None, floor: float) -> tuple[Column, Column]:
     """The least and greatest rate of a document, by its likeliest domain."""
     ps = [F.col(f"p_{d}") for d in names]
     likeliest = F.greatest(*ps)
-    low, high = F.lit(0.0), F.lit(float(most[names[-1]]))
+    low = F.when(ps[0] == likeliest, float(floor)).otherwise(0.0)
+    high = F.lit(float("inf"))
     for d, p in reversed(list(zip(names, ps, strict=True))):
-        high = F.when(p == likeliest, F.lit(float(most[d]))).otherwise(high)
-    return F.when(ps[0] == likeliest, 1.0).otherwise(low), F.greatest(high, F.when(ps[0] == likeliest, 1.0).otherwise(low))
+        high = F.when(p == likeliest, F.lit(float((most or {}).get(d, "inf")))).otherwise(high)
+    return low, F.greatest(high, low)
 
 
-def _moved(rate: Column, step: np.ndarray, scale: float, names: list[str], low: Column, high: Column) -> Column:
-    move = sum((F.col(f"p_{d}") * float(x) for d, x in zip(names, step, strict=True)), F.lit(0.0))
-    return F.least(high, F.greatest(low, rate + F.col("n_tokens") / scale * move))
+def _rate(moved: np.ndarray, names: list[str], low: Column, high: Column) -> tuple[Column, Column]:
+    """The rate after all steps so far, whose sum is moved: before its projection between the bounds, and after."""
+    bare = sum((F.col(f"p_{d}") * float(x) for d, x in zip(names, moved, strict=True)), F.lit(0.0)) * F.col("n_tokens") + 1.0
+    return bare, F.least(high, F.greatest(low, bare))
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, most: dict[str, float] = MOST_RATE, steps: int = STEPS) -> Column:
-    """The rate, as a function of the columns of with_posteriors(); scored is read once a step.
+@dataclass
+class Fit:
+    """rate: a function of the columns of with_posteriors(). expected and wanted: each domain's tokens. residual: the greatest gap, as a share of all wanted tokens."""
 
-    A step goes along the gap between target and expected totals. Its metric is
-    that of the documents a trial step leaves between their bounds, as those at
-    a bound do not move; should the gap grow, the step is taken back for the
-    metric of all documents, under which it cannot.
+    rate: Column
+    expected: dict[str, float]
+    wanted: dict[str, float]
+    residual: float
+
+
+def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, most: dict[str, float] | None = None, floor: float = 0.0, steps: int = STEPS) -> Fit:
+    """Rates that bring the expected tokens as near to the targets as the bounds let them; scored is read once a step.
+
+    A gradient of the least squares is, for each document, a product of its
+    tokens by domain with the gap between targets and expected totals, so the
+    sum of all steps is one small vector, and a rate is the projection of what
+    that vector makes of it. The metric of a step is that of the documents
+    between their bounds, as those at a bound do not move, with a little of all
+    documents'. A step that widens the gap is made smaller.
     """
     names = list(targets)
     k = len(names)
@@ -110,40 +133,47 @@ def fit_rates(scored: DataFrame, targets: dict[str, float] = TARGETS, most: dict
     if not (weights >= 0).all() or weights[0] <= 0:
         raise ValueError("weights must not be negative, and the first must be positive")
 
-    def squares(of: Column) -> list[Column]:
-        return [F.sum(of * n * n * ps[i] * ps[j]) for i in range(k) for j in range(k)]
-
-    row = scored.agg(*[F.sum(n * p).alias(f"s{i}") for i, p in enumerate(ps)], *[x.alias(f"m{i}") for i, x in enumerate(squares(F.lit(1.0)))]).first()
-    have, moments = np.array([x or 0.0 for x in row[:k]]), np.array([x or 0.0 for x in row[k:]]).reshape(k, k)
-    want = have[0] * weights / weights[0]
+    low, high = _bounds(names, most, floor)
+
+    def totals(moved: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One pass: the expected tokens, and the second moments of all documents and of those between their bounds."""
+        bare, rate = _rate(moved, names, F.col("low"), F.col("high"))
+        rows = scored.select("n_tokens", *ps, low.alias("low"), high.alias("high")).withColumns({"bare": bare, "rate": rate})
+        inside = F.when((F.col("bare") > F.col("low")) & (F.col("bare") < F.col("high")), 1.0).otherwise(0.0)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = [F.sum(n * p * F.col("rate")) for p in ps] + [F.sum(of * n * n * ps[i] * ps[j]) for of in (F.lit(1.0), inside) for i, j in pairs]
+        row = np.array([x or 0.0 for x in rows.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()])
+        moments = np.zeros((2, k, k))
+        for m, values in zip(moments, row[k:].reshape(2, -1), strict=True):
+            for (i, j), x in zip(pairs, values, strict=True):
+                m[i, j] = m[j, i] = x
+        return row[:k], *moments
+
+    at = np.zeros(k)
+    have, whole, free = totals(at)
+    first = have[0] if floor <= 1.0 <= float((most or {}).get(names[0], "inf")) else float(scored.agg(F.sum(n * ps[0])).first()[0] or 0.0)
+    want = first * weights / weights[0]
     scale = float(want.sum())
     if scale <= 0:
-        return F.lit(1.0)
-    low, high = _bounds(names, most)
-    whole = np.linalg.pinv(moments / scale**2, rcond=1e-9, hermitian=True)
-    rate, back, gap_before, gap_least = F.lit(1.0), None, None, np.inf
-    best = rate
+        return Fit(F.lit(1.0), dict(zip(names, have.tolist(), strict=True)), dict(zip(names, want.tolist(), strict=True)), 0.0)
+    size = np.linalg.norm(want - have)
     for _ in range(steps):
-        now = scored.select("n_tokens", *ps, rate.alias("rate"), low.alias("low"), high.alias("high"))
-        trial = F.lit(1.0)
-        if gap_before is not None:
-            moved = _moved(F.col("rate"), whole @ gap_before, scale, names, F.col("low"), F.col("high"))
-            trial = F.when((moved > F.col("low")) & (moved < F.col("high")), 1.0).otherwise(0.0)
-        row = now.agg(*[F.sum(n * p * F.col("rate")).alias(f"s{i}") for i, p in enumerate(ps)], *[x.alias(f"m{i}") for i, x in enumerate(squares(trial))]).first()
-        gap = (want - np.array(row[:k])) / scale
-        size = float(gap @ whole @ gap)
-        if size < gap_least:
-            best, gap_least = rate, size
-        elif back is not None:  # taken back
-            rate, gap = back
-            rate, back = _moved(rate, whole @ gap, scale, names, low, high), None
-            continue
-        if np.abs(gap).max() < CLOSE:
+        gap = want - have
+        if np.abs(gap).max() < CLOSE * scale:
+            break
+        step, share = np.linalg.pinv(free + 1e-3 * whole, rcond=1e-12, hermitian=True) @ gap, 1.0
+        while share > SMALLEST:
+            then, _, then_free = totals(at + share * step)
+            if (then_size := np.linalg.norm(want - then)) < size:
+                break
+            share /= 4
+        else:
             break
-        free = np.linalg.pinv(np.array(row[k:]).reshape(k, k) / scale**2, rcond=1e-6, hermitian=True) if gap_before is not None else whole
-        back, gap_before = (rate, gap), gap
-        rate = _moved(rate, free @ gap, scale, names, low, high)
-    return best
+        at, have, free, size = at + share * step, then, then_free, then_size
+    residual = float(np.abs(want - have).max() / scale)
+    if residual > OUT_OF_REACH:
+        _LOG.warning("the expected tokens stay %.2g of all wanted tokens from their targets", residual)
+    return Fit(_rate(at, names, low, high)[1], dict(zip(names, have.tolist(), strict=True)), dict(zip(names, want.tolist(), strict=True)), residual)
 
 
 def _copies(rate: Column, *key: Column) -> Column:
@@ -151,20 +181,20 @@ def _copies(rate: Column, *key: Column) -> Column:
     return F.floor(rate + share).cast("int")
 
 
-def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: dict[str, float] = MOST_RATE) -> DataFrame:
-    """doc_id, n_tokens, the posteriors, rate and copies of every document."""
+def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: dict[str, float] | None = None, floor: float = 0.0) -> DataFrame:
+    """doc_id, n_tokens, the posteriors, rate and copies of every document, and the residual of the whole fit."""
     ids = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     scored = written(with_posteriors(ids, labels, ["doc_id"]))
-    rate = fit_rates(scored, targets, most)
-    return scored.select(F.col("_c0").alias("doc_id"), "n_tokens", *[f"p_{d}" for d in targets], rate.alias("rate")).withColumns(
-        {"copies": _copies(F.col("rate"), F.col("doc_id"), F.col("n_tokens"))}
+    fit = fit_rates(scored, targets, most, floor)
+    return scored.select(F.col("_c0").alias("doc_id"), "n_tokens", *[f"p_{d}" for d in targets], fit.rate.alias("rate")).withColumns(
+        {"copies": _copies(F.col("rate"), F.col("doc_id"), F.col("n_tokens")), "residual": F.lit(fit.residual)}
     )
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: dict[str, float] = MOST_RATE) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: dict[str, float] | None = None, floor: float = 0.0) -> DataFrame:
     """The documents, each row as often as its copies say, all columns."""
     scored = written(with_posteriors(docs, labels, docs.columns))
-    rate = fit_rates(scored, targets, most)
+    rate = fit_rates(scored, targets, most, floor).rate
     names = [f"_c{i}" for i in range(len(docs.columns))]
     key = F.col(names[docs.columns.index("doc_id")]).cast("long")
     repeated = scored.withColumn("rate", rate).withColumn("again", F.explode(F.sequence(F.lit(0), _copies(F.col("rate"), key, F.col("n_tokens"))))).where("again > 0")

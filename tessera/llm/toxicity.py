@@ -2,21 +2,27 @@
 
 A text is a bag of its words' character n-grams (3 to 5 bytes of UTF-8, word
 ends marked), each hashed to a row of an embedding table; a word that occurs n
-times counts as the root of n. The rows' mean goes through a linear softmax. Table and softmax are trained jointly in numpy on the
-driver, so a misspelling or inflection never seen shares the vectors of its
-n-grams. Rows the training never met stay zero and say nothing.
+times counts as the root of n. The rows' mean, over NEUTRAL more rows of zeros,
+goes through a linear softmax. Table and softmax are trained jointly in numpy, so
+a misspelling or inflection never seen shares the vectors of its n-grams. Rows
+the training never met stay zero and say nothing.
 
-Training reads a bounded, documented sample: the labelled rows first in the
+Training reads a bounded, documented sample: the labelled documents first in the
 order of a hash, at most PER_CLASS of each class, of texts up to MOST_CHARS
-long. Scoring covers every whole text. Since the softmax is linear, embedding
-and softmax fold into one weight a row when scoring: 1 MB of floats, a fixed
+long. One scan of the documents finds them, and one task trains: no text comes
+to the driver, and a lost executor costs one more training. Scoring covers every
+whole text. Since the softmax is linear, embedding and softmax fold into one
+weight a row when scoring: 1 MB of floats for each class but the first, a fixed
 size, sent to the executors. There is no shuffle in scoring.
 
 Defined cases: null and empty texts have no n-grams and score by the bias
+alone. Texts of any length are scored whole, in chunks of rows, one long text
 alone. Labels that are null do not count; of several for a doc_id the greatest
-does. Without labels of two classes every score is the classes' share (a half
-without any label). Repeated rows each get a row; rows with a null doc_id are not
-held out. Other columns are ignored.
+does; of several texts for a doc_id training sees the least. Ties in the order of
+the sample go by doc_id. Without labels of two classes every score is the
+classes' share (a half without any label). Empty tables give no rows. Repeated
+rows each get a row; rows with a null doc_id are not held out. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -126,7 +132,7 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids.append(found.astype(np.int32))
         shares.append((sums / (sums.sum() + NEUTRAL)).astype(np.float32))
         bounds.append(bounds[-1] + len(found))
-    # One list at a time: driver memory is short.
+    # One list at a time: memory is short.
     every_id = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     del ids
     return every_id, np.concatenate(shares) if shares else np.zeros(0, np.float32), np.array(bounds)
@@ -187,12 +193,11 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int]) -> tuple[list[str], np.ndarray, list[float]]:
-    """Texts and classes to learn from, and the classes' shares among all labels.
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int]) -> tuple[DataFrame, list[float]]:
+    """(label, place, doc_id, text) to learn from, and the classes' shares among all labels.
 
-    labels: (doc_id, label) of distinct documents; at most per_class rows of each come to the driver.
+    labels: (doc_id, label) of distinct documents. At most 2 * sum(per_class) rows, found by one scan of the documents.
     """
-    texts = doc_texts(docs).where(F.length("text") <= MOST_CHARS)
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = max(1, sum(counts.values()))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(2**53)
@@ -203,19 +208,43 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int
         near = labels.where((F.col("label") == c) & (place < min(1.0, 3 * n / max(1, counts.get(c, 0)) + 1e-6)))
         first = near.orderBy(place, "doc_id").limit(2 * n)
         ids = first if ids is None else ids.unionByName(first)
+    texts = doc_texts(docs).where(F.length("text") <= MOST_CHARS)
     found = texts.join(F.broadcast(ids), "doc_id")  # at most 2 * sum(per_class) ids
-    out: list[tuple[str, int]] = []
-    for c, n in per_class.items():
-        best = found.where(F.col("label") == c).orderBy(place, "doc_id", "text").limit(n)
-        out += [(r["text"], c) for r in best.select("text").collect()]
-    return [t for t, _ in out], np.array([c for _, c in out], int), [counts.get(c, 0) / total for c in per_class]
+    sample = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return sample.select("label", place.alias("place"), "doc_id", "text"), [counts.get(c, 0) / total for c in per_class]
+
+
+def _learn(batches: Iterator[pa.RecordBatch], per_class: dict[int, int], shares: list[float]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[int, float, int, str]] = []
+    for batch in batches:
+        rows += zip(*[batch.column(c).to_pylist() for c in ("label", "place", "doc_id", "text")], strict=True)
+    rows.sort()
+    left, texts, classes = dict(per_class), [], []
+    for label, _, _, text in rows:
+        if left[label]:
+            left[label] -= 1
+            texts.append(text)
+            classes.append(label)
+    del rows
+    model = train(texts, np.array(classes, int), shares, len(per_class))
+    yield pa.record_batch([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias.tobytes()], pa.binary())], names=["weight", "bias"])
+
+
+def trained(docs: DataFrame, labels: DataFrame, per_class: dict[int, int]) -> Model:
+    """The model of the sample, trained in one task; its weights, of a fixed size, come to the driver."""
+    sample, shares = training_sample(docs, labels, per_class)
+    found = sample.repartition(1).mapInArrow(lambda it: frugal(_learn(it, per_class, shares)), "weight binary, bias binary").collect()
+    if not found:  # no sample, no task
+        return train([], np.zeros(0, int), shares, len(per_class))
+    weight, bias = np.frombuffer(found[0]["weight"], np.float32), np.frombuffer(found[0]["bias"], np.float64)
+    return Model(weight.reshape(1 << BUCKET_BITS, -1), bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """The model of a 0/1 column of labels, learned from the rows that are not held out."""
     rows = pick(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = rows.where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return train(*training_sample(docs, known, PER_CLASS))
+    return trained(docs, known, PER_CLASS)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -60,7 +60,7 @@ def test_toxicity_cases(spark, edge, empty, labels):
 
 def test_mixing_meets_targets(spark):
     docs, labels = load(spark, MEDIUM, "documents"), load(spark, MEDIUM, "labels")
-    rows = mixing.mixing(docs, labels).cache()
+    rows = mixing.mixing(docs, labels, most={"clean": 4.0, "poor": 1.0, "toxic": 1.0}, floor=1.0).cache()
     sums = rows.agg(*[F.sum(F.expr(f"rate * n_tokens * p_{d}")).alias(d) for d in mixing.DOMAINS], F.sum(F.expr("n_tokens * p_clean")).alias("now")).first()
     for d in mixing.DOMAINS:
         assert sums[d] == pytest.approx(sums["now"] * mixing.TARGETS[d] / mixing.TARGETS["clean"], rel=0.01)
@@ -76,22 +76,82 @@ def test_mixing_counts_its_own_documents(spark, monkeypatch):
     docs = load(spark, SF, "documents")
     docs = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").where("doc_id % 3 > 0").select(docs.columns)
     given = []
-    monkeypatch.setattr(mixing, "train", lambda texts, y, shares, classes: given.append((len(texts), shares)) or toxicity.train(texts, y, shares, classes))
+    of = toxicity.training_sample
+
+    def noted(*a):
+        sample, shares = of(*a)
+        given.append(({r.doc_id for r in sample.collect()}, shares))
+        return sample, shares
+
+    monkeypatch.setattr(toxicity, "training_sample", noted)
     rows = mixing.mixing(docs, labels).collect()
     at = [domain[r.doc_id] for r in rows if r.doc_id in domain]
     assert at and given[0][1] == pytest.approx([at.count(c) / len(at) for c in range(3)])
+    assert given[0][0] <= {r.doc_id for r in rows}
     assert sum(r.n_tokens * r.p_toxic for r in rows) < 1e-3 * sum(r.n_tokens for r in rows)
 
 
 def test_mixing_out_of_reach(spark):
-    """Targets that bounds keep from being met: the rates go to their bounds."""
+    """Targets that bounds keep from being met: the rates go to their bounds, and the residual tells."""
     df = spark.createDataFrame([(100, 1.0, 0.0, 0.0), (10, 0.0, 1.0, 0.0), (10, 0.0, 0.0, 1.0)], "n_tokens long, p_clean double, p_poor double, p_toxic double")
-    rate = mixing.fit_rates(df, {"clean": 0.5, "poor": 0.5, "toxic": 0.0})
-    assert [round(r[0], 3) for r in df.select(rate).collect()] == [1.0, 1.0, 0.0]
+    fit = mixing.fit_rates(df, {"clean": 0.5, "poor": 0.5, "toxic": 0.0}, {"poor": 1.0, "toxic": 1.0}, 1.0)
+    assert [round(r[0], 3) for r in df.select(fit.rate).collect()] == [1.0, 1.0, 0.0]
+    assert fit.residual == pytest.approx(0.45) and fit.expected["poor"] == pytest.approx(10) and fit.wanted["poor"] == pytest.approx(100)
+    free = mixing.fit_rates(df, {"clean": 0.5, "poor": 0.5, "toxic": 0.0})
+    assert [round(r[0], 2) for r in df.select(free.rate).collect()] == [1.0, 10.0, 0.0] and free.residual < 1e-3
     with pytest.raises(ValueError):
         mixing.fit_rates(df, {"clean": 0.0, "poor": 1.0, "toxic": 0.0})
 
 
+@pytest.mark.parametrize("targets", [(0.95, 0.04, 0.01), (0.5, 0.3, 0.2), (0.05, 0.0, 0.95)])
+def test_rates_against_least_squares(spark, targets):
+    """The residual is that of nonnegative least squares over all rates, by plain numpy steps of each rate alone."""
+    rng = np.random.default_rng(int(targets[0] * 100))
+    n = rng.integers(1, 400, 60)
+    p = rng.dirichlet([0.4, 0.2, 0.2], 60)
+    rows = [(int(a), *map(float, b)) for a, b in zip(n, p, strict=True)]
+    df = spark.createDataFrame(rows, "n_tokens long, p_clean double, p_poor double, p_toxic double").coalesce(1).cache()
+    fit = mixing.fit_rates(df, dict(zip(mixing.DOMAINS, targets, strict=True)), steps=60)
+    part = n[:, None] * p
+    want = part[:, 0].sum() * np.array(targets) / targets[0]
+    rate = np.ones(60)
+    for _ in range(4000):
+        for i in range(60):
+            rate[i] = max(0.0, rate[i] + part[i] @ (want - rate @ part) / (part[i] @ part[i]))
+    found = np.array([r[0] for r in df.select(fit.rate).collect()])
+    assert (found >= 0).all()
+    assert np.allclose(found @ part, [fit.expected[d] for d in mixing.DOMAINS], rtol=1e-6, atol=1e-6 * want.sum())
+    gap, best = (np.abs(want - x @ part).max() / want.sum() for x in (found, rate))
+    assert fit.residual == pytest.approx(gap, abs=1e-6) and gap <= best + 1e-3
+    df.unpersist()
+
+
+def test_scores_against_plain_embeddings():
+    """The folded weights, hashed words and sums in arrays give the averaged embeddings' softmax, n-gram by n-gram."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(size=(1 << toxicity.BUCKET_BITS, 2)).astype(np.float32), np.array([0.3, -0.2]))
+    texts = ["", " ", "Some words, some WORDS é 日本", "a", "x " * 50 + "yy"]
+    found, n_words = model.posteriors(pa.array(texts))
+    for text, p, n in zip(texts, found, n_words, strict=True):
+        counts = {}
+        for w in text.encode().lower().split():
+            counts[w] = counts.get(w, 0) + 1
+        total, size = np.zeros(2), toxicity.NEUTRAL
+        for w, c in counts.items():
+            for g in toxicity.NGRAMS:
+                marked = b" " + w + b" "
+                for i in range(len(marked) - g + 1):
+                    value = 0
+                    for x in marked[i : i + g]:
+                        value = (value * 0x9E3779B97F4A7C15 + int(toxicity._VALUES[x])) % 2**64
+                    bucket = int(toxicity.mix(np.array([(value + g) % 2**64], np.uint64))[0]) >> (64 - toxicity.BUCKET_BITS)
+                    total += c**0.5 * model.weight[bucket]
+                    size += c**0.5
+        odds = np.concatenate([[0.0], model.bias + toxicity.GAIN * total / size])
+        e = np.exp(odds - odds.max())
+        assert n == sum(counts.values()) and np.allclose(p, e / e.sum(), atol=1e-9)
+
+
 def test_mixing_cases(edge, empty, labels):
     rows = mixing.mixing(edge, labels).collect()
     assert len(rows) == edge.count() and all(r.rate == 1 for r in rows if r.n_tokens == 0 and r.p_clean >= max(r.p_poor, r.p_toxic))
