@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from tessera.llm.common import written
 from tessera.llm.secrets import secret_scan
 from tessera.llm.simhash import simhash_near_dedup
 from tessera.llm.toxicity import toxicity
@@ -12,17 +13,17 @@ def test_stages(spark, docs):
     columns = docs.columns
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "near_dedup", "secrets", "mixing", "tokens"]
     said = {r.doc_id: r.predicted for r in toxicity(docs, pipeline.load(spark, SF, "labels")).collect()}
-    at = pipeline.written(pipeline.toxicity(spark, docs, SF))
+    at = written(pipeline.toxicity(spark, docs, SF))
     assert at.columns == columns and {r.doc_id for r in at.collect()} == {i for i, p in said.items() if p == 0}
     groups = {r.component_id for r in simhash_near_dedup(at).collect()}
-    at = pipeline.written(pipeline.near_dedup(spark, at, SF))
+    at = written(pipeline.near_dedup(spark, at, SF))
     assert at.columns == columns and sorted(r.doc_id for r in at.collect()) == sorted(groups)
     n = at.count()
-    at = pipeline.written(pipeline.secrets(spark, at, SF))
+    at = written(pipeline.secrets(spark, at, SF))
     assert at.columns == columns and at.count() == n and secret_scan(at).where("size(spans) > 0").count() == 0
     assert at.where("n_chars <> length(text)").count() == 0
     before = {r.doc_id for r in at.collect()}
-    at = pipeline.written(pipeline.mixing(spark, at, SF))
+    at = written(pipeline.mixing(spark, at, SF))
     labels = pipeline.load(spark, SF, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
     clean = {r.doc_id for r in labels.collect()} & before
     after = {r.doc_id for r in at.collect()}
@@ -36,5 +37,5 @@ def test_run_and_edge_cases(spark, edge, empty):
     for df in (edge, empty):
         at = df
         for _, stage in pipeline.STAGES:
-            at = pipeline.written(stage(spark, at, SF))
+            at = written(stage(spark, at, SF))
         assert at.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and (at.count() > 0) == (df is edge)
