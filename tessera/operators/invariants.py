@@ -59,12 +59,6 @@ def assert_no_ghost_removes(spark: SparkSession, storage: StorageBackend, versio
     _raise_first(checks.ghost_removes(_table(spark, storage, version)), "no_ghost_removes", "version {version} removes {file}, which is not active")
 
 
-def unequal_intervals(one: DataFrame, other: DataFrame) -> DataFrame:
-    """(file, since, until) of one read only: equal intervals make equal snapshots at every version."""
-    a, b = ops.intervals(one), ops.intervals(other)
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
-
-
 def assert_all_invariants(spark: SparkSession, storage: StorageBackend) -> None:
     """All five, with determinism at every version. An empty table has no violation."""
     latest = latest_version(storage)
@@ -73,7 +67,7 @@ def assert_all_invariants(spark: SparkSession, storage: StorageBackend) -> None:
     assert_contiguous_versions(spark, storage)
     assert_no_duplicate_versions(spark, storage)
     table = _table(spark, storage, latest)
-    _raise_first(unequal_intervals(table, _table(spark, storage, latest)), "deterministic_snapshot", "{file} differs")
+    _raise_first(checks.unequal_intervals(table, _table(spark, storage, latest)), "deterministic_snapshot", "{file} differs")
     _raise_first(checks.duplicate_adds(table), "no_duplicate_files", "version {version} adds {file} {n} times")
     _raise_first(checks.readds(table), "no_duplicate_files", "version {version} adds {file}, which is active")
     _raise_first(checks.ghost_removes(table), "no_ghost_removes", "version {version} removes {file}, which is not active")

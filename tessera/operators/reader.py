@@ -10,7 +10,7 @@ from ..errors import LogError, MissingVersionError
 from ..sources.layout import data_key
 from ..sources.log import latest_version, read_logs
 from ..sources.storage import StorageBackend
-from .snapshot import active_files
+from .snapshot import build_snapshot
 
 
 class SnapshotReader:
@@ -25,8 +25,7 @@ class SnapshotReader:
         self.storage = storage
         self._spark = spark
         self._pinned = latest_version(storage) if version is None else version
-        self._entries = read_logs(storage, self._pinned) if self._pinned >= 0 else []
-        self._files = tuple(active_files(self._entries))
+        self._files = tuple(build_snapshot(storage, self._pinned)) if self._pinned >= 0 else ()
 
     @property
     def pinned_version(self) -> int:
@@ -53,7 +52,7 @@ class SnapshotReader:
 
     def _last_schema(self) -> StructType:
         """Of the newest files that still exist: an empty snapshot has none of its own."""
-        for e in reversed(self._entries):
+        for e in reversed(read_logs(self.storage, self._pinned) if self._pinned >= 0 else []):
             there = tuple(f for f in e.adds if self.storage.exists(data_key(f)))
             if there:
                 try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ops import ADD, REMOVE, snapshot
+from .ops import ADD, REMOVE, intervals, snapshot
 
 
 def missing_versions(spark: SparkSession, present: DataFrame, latest_version: int) -> DataFrame:
@@ -62,8 +62,14 @@ def unequal_snapshots(one: DataFrame, other: DataFrame, version: int) -> DataFra
     return a.exceptAll(b).unionByName(b.exceptAll(a))
 
 
-def violations(spark: SparkSession, table: DataFrame, log: DataFrame, names: DataFrame, latest_version: int) -> DataFrame:
-    """(invariant, version, file) of every violation but that of determinism, which needs a second read."""
+def unequal_intervals(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(file, since, until) of one read only: equal intervals make equal snapshots at every version."""
+    a, b = intervals(one), intervals(other)
+    return a.exceptAll(b).unionByName(b.exceptAll(a))
+
+
+def violations(spark: SparkSession, table: DataFrame, log: DataFrame, names: DataFrame, latest_version: int, again: DataFrame | None = None) -> DataFrame:
+    """(invariant, version, file) of every violation; that of determinism only with again, the ops of a second read."""
     gap = missing_versions(spark, log, latest_version)
     parts = [
         ("contiguous_versions", gap.select("version", F.lit("").alias("file"))),
@@ -72,6 +78,8 @@ def violations(spark: SparkSession, table: DataFrame, log: DataFrame, names: Dat
         ("no_duplicate_files", readds(table)),
         ("no_ghost_removes", ghost_removes(table)),
     ]
+    if again is not None:
+        parts.append(("deterministic_snapshot", unequal_intervals(table, again).select(F.col("since").alias("version"), "file")))
     out = None
     for name, rows in parts:
         rows = rows.select(F.lit(name).alias("invariant"), "version", "file")

@@ -9,17 +9,20 @@ and an overwrite. The SQL computes the same from events and orders alone.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.invariants import names_frame
 from .operators.reader import SnapshotReader
 from .plans import checks, ops
-from .sources.layout import data_key, log_key
-from .sources.log import ensure_dirs, write_log
+from .sources.layout import VERSIONS, data_key, log_key
+from .sources.log import READERS, ensure_dirs, write_log
 from .table import Table
 
 DAYS = 30
@@ -29,8 +32,10 @@ _built: dict[tuple[str, str, str], Table] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one of spark.checkpoint.dir; a local one only where none is set."""
+    """A new folder in the shared one of spark.checkpoint.dir; a local one only where none is set and executors share this disk."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessera-")
 
 
@@ -64,22 +69,29 @@ def _event_log(spark: SparkSession, sf_dir: str, repeats: bool) -> list[tuple[li
     return [found.get(v, ([], [])) for v in range(DAYS)]
 
 
-def _build_log(spark: SparkSession, sf_dir: str, repeats: bool = False, gaps: tuple[int, ...] = (), files: bool = False) -> Table:
+def _build_log(
+    spark: SparkSession, sf_dir: str, repeats: bool = False, gaps: tuple[int, ...] = (), files: bool = False, emptied: tuple[int, ...] = (), zeroed: bool = False
+) -> Table:
+    """gaps: versions deleted. files: of what is added, as empty files. emptied: versions without ops. zeroed: versions that add an odd number of files also as 0<version>.json."""
     table = Table(spark, scratch(spark))
     ensure_dirs(table.storage)
     entries = _event_log(spark, sf_dir, repeats)
     for v, (adds, removes) in enumerate(entries):
-        write_log(table.storage, v, adds, removes)
+        write_log(table.storage, v, *(([], []) if v in emptied else (adds, removes)))
+        if zeroed and len(adds) % 2:
+            table.storage.write_all_bytes(f"{VERSIONS}/0{v}.json", table.storage.read_all_bytes(log_key(v)))
     for v in gaps:
         table.storage.remove_file(log_key(v))
     if files:
-        for name in sorted({f for adds, _ in entries for f in adds}):
-            table.storage.write_all_bytes(data_key(name), b"")
+        with ThreadPoolExecutor(READERS) as pool:
+            list(pool.map(lambda name: table.storage.write_all_bytes(data_key(name), b""), sorted({f for adds, _ in entries for f in adds})))
     return table
 
 
 events_log = _once("events", lambda spark, sf: _build_log(spark, sf, files=True))
 repeated_log = _once("repeated", lambda spark, sf: _build_log(spark, sf, repeats=True))
+emptied_log = _once("emptied", lambda spark, sf: _build_log(spark, sf, emptied=GAPS))
+zeroed_log = _once("zeroed", lambda spark, sf: _build_log(spark, sf, zeroed=True))
 gapped_log = _once("gapped", lambda spark, sf: _build_log(spark, sf, gaps=GAPS))
 
 
@@ -153,10 +165,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vacuum_plan_retain_1": lambda s, d: events_log(s, d).vacuum_plan(1),
     "vacuum_plan_retain_3": lambda s, d: events_log(s, d).vacuum_plan(3),
     "occ_conflicts_base_20": lambda s, d: ops.conflicts(events_log(s, d).ops(), _reads(s, d), 20),
-    "occ_first_conflict": lambda s, d: ops.first_conflict(events_log(s, d).ops(), _reads(s, d), 20).select("version"),
+    "occ_first_conflict": lambda s, d: ops.first_conflict(events_log(s, d).ops(), _reads(s, d), 20),
     "missing_versions": _gapped(checks.missing_versions),
     "valid_prefix": _gapped(checks.valid_prefix),
     "truncated_versions": _gapped(checks.truncated_versions),
+    "invariant_duplicate_versions": lambda s, d: checks.duplicate_versions(names_frame(s, zeroed_log(s, d).storage)),
+    "invariant_determinism": lambda s, d: checks.unequal_snapshots(events_log(s, d).ops(), emptied_log(s, d).ops(), 20),
+    "all_violations": lambda s, d: repeated_log(s, d).violations(),
     "invariant_dup_in_entry": lambda s, d: checks.duplicate_adds(repeated_log(s, d).ops()),
     "invariant_readds": lambda s, d: checks.readds(events_log(s, d).ops()),
     "invariant_ghost_removes": lambda s, d: checks.ghost_removes(events_log(s, d).ops()),
@@ -193,10 +208,20 @@ ORACLE_SQL: dict[str, str] = {
     "vacuum_plan_retain_1": f"WITH {_PHYS} SELECT file FROM phys WHERE file NOT IN (SELECT file FROM snap WHERE at_version = 29)",
     "vacuum_plan_retain_3": f"WITH {_PHYS} SELECT file FROM phys WHERE file NOT IN (SELECT file FROM snap WHERE at_version BETWEEN 27 AND 29)",
     "occ_conflicts_base_20": f"WITH {_READS} SELECT file, min(version) AS conflicting_version FROM ops JOIN rs USING (file) WHERE version > 20 GROUP BY file",
-    "occ_first_conflict": f"WITH {_READS} SELECT min(version) AS version FROM ops JOIN rs USING (file) WHERE version > 20",
+    "occ_first_conflict": f"WITH {_READS} SELECT file, version FROM ops JOIN rs USING (file) WHERE version > 20 ORDER BY version, act, file LIMIT 1",
     "missing_versions": f"WITH {_LEFT} SELECT CAST(range AS BIGINT) AS version FROM range(30) WHERE range NOT IN (SELECT version FROM l)",
     "valid_prefix": f"WITH {_PREFIX} SELECT max(version) AS valid_version FROM r WHERE rn = version",
     "truncated_versions": f"WITH {_PREFIX} SELECT version FROM l WHERE version > (SELECT max(version) FROM r WHERE rn = version)",
+    "invariant_duplicate_versions": f"WITH {_OPS} SELECT version, CAST(2 AS BIGINT) AS n FROM ops WHERE act = 0 GROUP BY version HAVING count(*) % 2 = 1",
+    "invariant_determinism": f"""WITH {_SNAP}, other AS (SELECT file FROM ops WHERE version <= 20 AND version NOT IN (12, 25) GROUP BY file HAVING max(version * 2 + act) % 2 = 0),
+one AS (SELECT file FROM snap WHERE at_version = 20) (SELECT file FROM one EXCEPT SELECT file FROM other) UNION ALL (SELECT file FROM other EXCEPT SELECT file FROM one)""",
+    "all_violations": f"""WITH {_SNAP}, many AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS version,
+  'u' || CAST(user_id AS VARCHAR) || '.parquet' AS file, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS act, count(*) AS n
+  FROM events WHERE event_type IN ('purchase', 'signup', 'view', 'error') GROUP BY 1, 2, 3),
+was AS (SELECT m.*, s.file IS NOT NULL OR (m.act = 1 AND a.file IS NOT NULL) AS active FROM many m LEFT JOIN snap s ON s.file = m.file AND s.at_version = m.version - 1
+  LEFT JOIN ops a ON a.version = m.version AND a.file = m.file AND a.act = 0)
+SELECT 'no_duplicate_files' AS invariant, version, file FROM was WHERE act = 0 AND (n > 1 OR active)
+UNION ALL SELECT 'no_ghost_removes' AS invariant, version, file FROM was WHERE act = 1 AND (n > 1 OR NOT active)""",
     "invariant_dup_in_entry": """WITH e AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS version,
   'u' || CAST(user_id AS VARCHAR) || '.parquet' AS file FROM events WHERE event_type IN ('purchase', 'signup', 'view'))
 SELECT version, file, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) > 1""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 VERSIONS = "metadata/versions"
+CHECKPOINTS = "metadata/checkpoints"
 DATA = "data"
 STAGING = "data/staging"
 _ENTRY = re.compile(r"(\d+)\.json")
@@ -21,6 +22,10 @@ def log_tmp_key(version: int, token: str | None = None) -> str:
     return f"{VERSIONS}/{version}.{token}.json.tmp" if token else f"{VERSIONS}/{version}.json.tmp"
 
 
+def checkpoint_key(version: int) -> str:
+    return f"{CHECKPOINTS}/{version}.json"
+
+
 def version_of(filename: str) -> int | None:
     """The version that a file name of the log folder stands for."""
     m = _ENTRY.fullmatch(filename)

@@ -128,7 +128,8 @@ class LocalStorage(StorageBackend):
         with _as_log_error("move", source):
             self.mkdir_parents_for_file(target)
             os.link(self._at(source), self._at(target))
-            os.remove(self._at(source))
+        # The move is done; a second name left behind does no harm.
+        self.remove_file(source)
 
     def sync_for_durability(self, key: str) -> None:
         with _as_log_error("sync", key):
@@ -169,15 +170,24 @@ class LocalStorage(StorageBackend):
 class HadoopStorage(StorageBackend):
     """A folder of any file system that Hadoop opens: hdfs, abfss or wasbs with a SAS, s3a.
 
-    Credentials are Hadoop settings of the session. A commit is one exclusive
-    create; on stores without it, one writer at a time must be arranged for.
+    Credentials are Hadoop settings of the session. A file is published by one
+    rename that does not overwrite, so readers see it whole or not at all. That
+    needs a store whose rename is atomic (ATOMIC, by scheme); a local disk gets a
+    hard link. Other stores are refused unless the caller vouches, by
+    single_writer, for one writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    #: Schemes of stores that rename without overwriting in one step.
+    ATOMIC = ("hdfs", "webhdfs", "abfs", "abfss", "wasb", "wasbs", "ofs", "o3fs")
+
+    def __init__(self, spark: SparkSession, root: str, single_writer: bool = False) -> None:
         self.root = root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         path = self._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = path.getFileSystem(conf)
+        top = self._fs.resolvePath(self._fs.makeQualified(self._jvm.org.apache.hadoop.fs.Path("/")))
+        self._scheme, self._single_writer, self._conf = top.toUri().getScheme(), single_writer, conf
 
     def _at(self, key: str):  # noqa: ANN202  a Java object
         key = normalize(key)
@@ -227,22 +237,27 @@ class HadoopStorage(StorageBackend):
     def rename_no_overwrite(self, source: str, target: str) -> None:
         from py4j.protocol import Py4JJavaError
 
-        if not self.exists(source):
-            raise LogError(f"cannot move {source}: it is missing")
-        if target.endswith(".json"):  # an exclusive create is atomic where a checked rename is not
-            try:
-                self._create(target, self.read_all_bytes(source), False)
-            except Py4JJavaError as e:
-                if self.exists(target):
-                    raise FileExistsError(target) from e
-                raise LogError(f"cannot write {target}: {e.java_exception}") from e
+        if self._scheme != "file" and self._scheme not in self.ATOMIC and not self._single_writer:
+            raise LogError(f"{self._scheme} has no atomic rename; open the storage with single_writer if one writer at a time is arranged for")
+        self.mkdir_parents_for_file(target)
+        try:
+            self._rename(source, target)
+        except Py4JJavaError as e:
+            kind = e.java_exception.getClass().getSimpleName()
+            if kind == "FileAlreadyExistsException":
+                raise FileExistsError(target) from e
+            raise LogError(f"cannot move {source} to {target}: {e.java_exception}") from e
+
+    def _rename(self, source: str, target: str) -> None:
+        if self._scheme == "file":
+            files, at = self._jvm.java.nio.file.Files, lambda key: self._jvm.java.nio.file.Path.of(self._fs.resolvePath(self._at(key)).toUri())
+            parent = at(os.path.dirname(target))
+            files.createLink(parent.resolve(os.path.basename(target)), at(source))
             self.remove_file(source)
-        elif self.exists(target):
-            raise FileExistsError(target)
-        else:
-            self.mkdir_parents_for_file(target)
-            if not self._do("move", source, lambda: self._fs.rename(self._at(source), self._at(target))):
-                raise LogError(f"cannot move {source} to {target}")
+            return
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        context.rename(self._fs.makeQualified(self._at(source)), self._fs.makeQualified(self._at(target)), options)
 
     def sync_for_durability(self, key: str) -> None:
         """Nothing to do: files are synced as they are written."""
@@ -296,10 +311,10 @@ def azure_sas_storage(spark: SparkSession, host: str, container: str, sas: str)
 
 
 def open_storage(spark: SparkSession | None, root: str | os.PathLike[str]) -> StorageBackend:
-    """By path: a scheme other than file goes through Hadoop."""
+    """By path: a scheme other than file goes through Hadoop, where the setting tessera.singleWriter vouches for one writer."""
     path = str(root)
     if "://" in path and not path.startswith("file://"):
         if spark is None:
             raise LogError(f"{path} needs a session")
-        return HadoopStorage(spark, path)
+        return HadoopStorage(spark, path, spark.conf.get("tessera.singleWriter", "false") == "true")
     return LocalStorage(path.removeprefix("file://"))

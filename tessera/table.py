@@ -9,12 +9,16 @@ from pyspark.sql.types import StructType
 
 from .operators import gc, invariants, recovery
 from .operators.reader import SnapshotReader
+from .operators.snapshot import make_checkpoint
 from .operators.transaction import Transaction
 from .plans import checks, ops
-from .sources.bulk import bulk_log
-from .sources.log import ensure_dirs, latest_version, log_frame, read_logs, read_version, versions
+from .sources.bulk import bulk_log, checked_log
+from .sources.log import ensure_dirs, latest_version, log_frame, read_logs
 from .sources.storage import StorageBackend, open_storage
 
+#: Versions from which on the executors parse a log.
+LONG = 1000
+
 
 class Table:
     """A table by path: a local or mounted folder, or any URI that Hadoop opens."""
@@ -32,10 +36,10 @@ class Table:
     def latest_version(self) -> int:
         return latest_version(self.storage)
 
-    def log(self, upto: int | None = None, bulk: bool = False) -> DataFrame:
-        """(version, timestamp, adds, removes) up to a version; strictly parsed, with bulk by the executors."""
+    def log(self, upto: int | None = None, bulk: bool | None = None) -> DataFrame:
+        """(version, timestamp, adds, removes) up to a version; strictly parsed, by the executors if the log is long (or as bulk says)."""
         end = self.latest_version() if upto is None else upto
-        if bulk:
+        if bulk if bulk is not None else end >= LONG:
             return bulk_log(self.spark, self.storage, end)
         return log_frame(self.spark, read_logs(self.storage, end))
 
@@ -68,14 +72,13 @@ class Table:
 
     def checked(self) -> DataFrame:
         """(version, ok) of each entry's file."""
-        rows = [(v, read_version(self.storage, v) is not None) for v in versions(self.storage)]
-        return self.spark.createDataFrame(rows, "version long, ok boolean")
+        return checked_log(self.spark, self.storage)
 
     def violations(self) -> DataFrame:
-        """(invariant, version, file): all violations of a log that can be read."""
-        entries = self.log()
+        """(invariant, version, file): all violations of a log that can be read; two reads of it are compared."""
+        entries, again = self.log(), self.log()
         names = invariants.names_frame(self.spark, self.storage)
-        return checks.violations(self.spark, ops.ops(entries), entries, names, self.latest_version())
+        return checks.violations(self.spark, ops.ops(entries), entries, names, self.latest_version(), ops.ops(again))
 
     # Rows.
 
@@ -117,6 +120,12 @@ class Table:
         txn.add_dataframe(df)
         return txn.commit()
 
+    def checkpoint(self, version: int | None = None) -> int:
+        """Writes the active files of a version beside the log, from which readers go on; the version."""
+        end = self.latest_version() if version is None else version
+        make_checkpoint(self.storage, end)
+        return end
+
     def validate(self) -> int:
         return recovery.validate_log(self.storage)
 

@@ -6,8 +6,10 @@ import sys
 import pytest
 from .helpers import commit, data_files, make_log, put
 
-from tessera import ConflictError, CrashPoint, LogError, SnapshotReader, Transaction, WriteConflictError, local_storage
+from tessera import ConflictError, CrashPoint, HadoopStorage, LocalStorage, LogError, MissingVersionError, SnapshotReader, Table, Transaction, WriteConflictError, local_storage
+from tessera.operators.gc import vacuum
 from tessera.operators.recovery import recover_log
+from tessera.operators.snapshot import files_referenced_in_range
 from tessera.operators.transaction import with_retries
 from tessera.sources.layout import STAGING, VERSIONS
 from tessera.sources.log import latest_version, read_logs
@@ -210,3 +212,199 @@ def test_no_crash_and_usage(tmp_path):
     assert crash(tmp_path, "elsewhere") == 2
     assert SnapshotReader(local_storage(tmp_path)).read() == ("a",)
     assert CrashPoint("after_fsync") is CrashPoint.AFTER_FSYNC
+
+
+class Failing(LocalStorage):
+    """Raises once in the named method, for keys that hold a text, before or after doing the work."""
+
+    def arm(self, method, text, after):
+        real, left = getattr(LocalStorage, method), [1]
+
+        def call(key, *args):
+            hit = text in key and left and left.pop()
+            if hit and not after:
+                raise LogError(f"no {method}")
+            out = real(self, key, *args)
+            if hit:
+                raise LogError(f"after {method}")
+            return out
+
+        setattr(self, method, call)
+
+
+#: (method, part of the key, after the work is done, version published)
+STEPS = [
+    ("write_all_bytes", "intent", False, False), ("write_all_bytes", ".json.tmp", False, False), ("sync_for_durability", ".json.tmp", False, False),
+    ("rename_no_overwrite", "versions", False, False), ("rename_no_overwrite", "versions", True, True), ("remove_file", "versions", False, True),
+    ("sync_for_durability", "versions/1.json", False, True), ("remove_tree", "staging", False, True), ("remove_empty_dir", "staging", False, True),
+]
+
+
+@pytest.mark.parametrize(("method", "text", "after", "published"), STEPS)
+def test_errors_around_the_commit_point(spark, tmp_path, method, text, after, published):
+    """A commit that is in the log stands and keeps its files; one that is not leaves nothing behind."""
+    table = Table(spark, Failing(tmp_path))
+    table.append(spark.range(3).coalesce(1))
+    txn = table.transaction()
+    txn.add_dataframe(spark.range(4).coalesce(1))
+    if method == "sync_for_durability" and text == "versions/1.json":
+        real = table.storage.sync_for_durability
+        table.storage.sync_for_durability = lambda key: _no(key) if key == "metadata/versions/1.json" else real(key)
+    else:
+        table.storage.arm(method, text, after)
+    if published:
+        assert txn.commit() == 1
+    else:
+        with pytest.raises(LogError):
+            txn.commit()
+    fresh = Table(spark, tmp_path)
+    assert fresh.latest_version() == int(published)
+    assert fresh.reader().df().count() == (7 if published else 3)
+    assert len([f for f in data_tree(fresh.storage) if f.endswith(".parquet")]) == 1 + published
+
+
+def _no(key):
+    raise LogError(f"cannot sync {key}")
+
+
+def data_tree(storage):
+    return [f for f in storage.list_tree("data") if not f.startswith("staging/")]
+
+
+class Vacuuming(LocalStorage):
+    """Vacuums the table after each step of a writer."""
+
+    busy = True
+
+    def vacuum_now(self):
+        if not self.busy:
+            self.busy = True
+            vacuum(local_storage(self.root))
+            self.busy = False
+
+    def write_all_bytes(self, key, data):
+        super().write_all_bytes(key, data)
+        self.vacuum_now()
+
+    def rename_no_overwrite(self, source, target):
+        super().rename_no_overwrite(source, target)
+        self.vacuum_now()
+
+    def sync_for_durability(self, key):
+        super().sync_for_durability(key)
+        self.vacuum_now()
+
+    def list_tree(self, key):
+        out = super().list_tree(key)
+        self.vacuum_now()
+        return out
+
+    def remove_tree(self, key):
+        self.vacuum_now()
+        super().remove_tree(key)
+        self.vacuum_now()
+
+
+def test_vacuum_between_all_steps(spark, tmp_path):
+    table = Table(spark, Vacuuming(tmp_path))
+    table.append(spark.range(3))
+    table.storage.busy = False
+    txn = table.transaction()
+    txn.add_dataframe(spark.range(4))
+    txn.add_dataframe(spark.range(5))
+    txn.add("by_name.parquet")
+    txn.commit()
+    table.storage.busy = True
+    names = [f for f in table.reader().files if f != "by_name.parquet"]
+    assert spark.read.parquet(*[table.storage.uri(f"data/{f}") for f in names]).count() == 12
+    assert table.storage.exists("data/by_name.parquet")
+
+
+def test_an_unreadable_intent_stops_the_vacuum(spark, tmp_path):
+    table = Table(spark, tmp_path)
+    table.append(spark.range(3))
+    txn = table.transaction()
+    txn.add_dataframe(spark.range(4))
+    intent = f"{txn._own}/intent.json"
+    whole = table.storage.read_all_text(intent)
+    put(table.storage, intent, whole[:5])
+    with pytest.raises(LogError):
+        table.vacuum()
+    put(table.storage, intent, whole)
+    assert table.vacuum().deleted_files == []
+    assert txn.commit() == 1 and table.reader().df().count() == 7
+
+
+def test_vacuum_removes_folders_of_single_writes(spark, tmp_path):
+    table = Table(spark, tmp_path)
+    table.append(spark.range(3))
+    table.overwrite(spark.range(4))
+    assert len(os.listdir(tmp_path / "data")) == 2
+    table.vacuum()
+    assert len(os.listdir(tmp_path / "data")) == 1 and table.reader().df().count() == 4
+
+
+def test_checkpoints(spark, tmp_path):
+    storage = make_log(tmp_path, ("a b", ""), ("c", "a"), ("d", ""), ("", "b"))
+    table = Table(spark, storage)
+    before = [table.reader(v).files for v in range(4)]
+    assert table.checkpoint(1) == 1 and table.checkpoint() == 3 and table.checkpoint(1) == 1
+    assert [SnapshotReader(storage, v).files for v in range(4)] == before
+    read = []
+    storage.read_all_bytes = lambda key: read.append(key) or LocalStorage.read_all_bytes(storage, key)
+    assert SnapshotReader(storage, 2).files == before[2]
+    assert sorted(read) == ["metadata/checkpoints/1.json", "metadata/versions/1.json", "metadata/versions/2.json"]
+    assert files_referenced_in_range(storage, 2, 3) == {"b", "c", "d"}
+    # One of another log, or damaged, does not count; nor one whose versions recovery cut off.
+    put(storage, "metadata/checkpoints/1.json", "{")
+    assert SnapshotReader(storage, 2).files == before[2]
+    put(storage, "metadata/versions/3.json", "BAD")
+    recover_log(storage)
+    assert not storage.exists("metadata/checkpoints/3.json")
+    assert commit(storage, "e") == 3 and SnapshotReader(storage).files == ("b", "c", "d", "e")
+    table.checkpoint(3)
+    put(storage, "metadata/versions/3.json", '{"version":3,"timestamp":0,"adds":["f"],"removes":[]}')
+    assert SnapshotReader(storage).files == ("b", "c", "d", "f")
+    storage.remove_file("metadata/versions/0.json")
+    with pytest.raises(MissingVersionError):
+        SnapshotReader(storage)
+
+
+def test_hadoop_entries_appear_whole(spark, tmp_path):
+    """While an entry is being written no reader sees its key, and a second writer of it is refused."""
+    storage = HadoopStorage(spark, f"file://{tmp_path}/t")
+    seen = []
+    create = storage._create
+
+    def noted(key, data, overwrite):
+        create(key, data[: len(data) // 2], overwrite)
+        seen.append(latest_version(local_storage(tmp_path / "t")))
+        create(key, data, True)
+
+    storage._create = noted
+    commit(storage, "a")
+    commit(storage, "b")
+    assert max(seen[: len(seen) // 2]) < 1 and latest_version(storage) == 1 and SnapshotReader(storage).files == ("a", "b")
+    put(storage, "x", "1")
+    put(storage, "y", "2")
+    with pytest.raises(FileExistsError):
+        storage.rename_no_overwrite("x", "y")
+    assert storage.read_all_text("x") == "1" and storage.read_all_text("y") == "2"
+    with pytest.raises(LogError):
+        storage.rename_no_overwrite("none", "z")
+    storage._scheme = "s3a"
+    with pytest.raises(LogError):
+        commit(storage, "c")
+    assert latest_version(storage) == 1
+
+
+def test_hadoop_rename_of_other_schemes(spark, tmp_path):
+    """The rename that does not overwrite, as it is called on hdfs and abfs, on the one file system at hand."""
+    storage = HadoopStorage(spark, f"file://{tmp_path}/t")
+    storage._scheme = "hdfs"
+    put(storage, "x", "1")
+    put(storage, "y", "2")
+    with pytest.raises(FileExistsError):
+        storage.rename_no_overwrite("x", "y")
+    storage.rename_no_overwrite("x", "d/z")
+    assert storage.read_all_text("d/z") == "1" and not storage.exists("x") and storage.read_all_text("y") == "2"
