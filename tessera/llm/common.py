@@ -59,6 +59,22 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+#: Numbers that running() sums at once.
+_BLOCK = 32
+
+
+def running(numbers: str, fold: str = "ra + ry", start: str = "0L") -> str:
+    """SQL for the sums (or another fold of ra and ry) of an array of longs up to each of its items.
+
+    They are taken in blocks, so that the cost grows little faster than the length.
+    """
+    within = f"slice(rn, cast((ri div {_BLOCK}) * {_BLOCK} + 1 AS int), cast(ri % {_BLOCK} + 1 AS int))"
+    every = f"transform(rn, (rx, ri) -> aggregate({within}, rs[ri div {_BLOCK}], (ra, ry) -> {fold}))"
+    before = f"transform(rb, (rx, rc) -> aggregate(slice(rb, 1, rc), {start}, (ra, ry) -> {fold}))"
+    blocks = f"transform(sequence(0, size(rn) div {_BLOCK}), rc -> aggregate(slice(rn, cast(rc * {_BLOCK} + 1 AS int), {_BLOCK}), {start}, (ra, ry) -> {fold}))"
+    return let(numbers, "rn", let(blocks, "rb", let(before, "rs", every)))
+
+
 def frugal(batches: Iterator) -> Iterator:
     """The batches; then gives the memory that they needed back to the system, as idle workers share it with busy ones."""
     try:

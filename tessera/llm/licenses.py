@@ -2,108 +2,46 @@
 
 A text is reduced to its words (lower-cased runs of 0-9, a-z and characters
 past ASCII), joined by one space, so a rule is a plain regex over words and its
-place is a word index. Rules come from a table of licenses and a table of
-wordings; a keyword that every name of a license needs gates the rules of its
-names, and one that every identifier needs those of its identifiers, so most
+place is a word index. Rules are written one by one in ``license_rules``; each
+has a keyword that begins a word of all its matches, a first gate finds the texts
+that hold any of them, and a rule is tried where its keyword stands, so most
 texts meet only one cheap test.
 
-Overlaps: rules have a priority (base phrases first, then longer and more
-explicit wordings). A detection inside the interval of another one of higher
-priority, or of equal priority and greater length, is suppressed. Base phrases
-are never suppressed.
+Overlaps: rules have a priority (base phrases first, then the order of the
+table). A detection inside the interval of another one of higher priority, or of
+equal priority and greater length, is suppressed. Base phrases are never
+suppressed. Places are running sums in blocks, and suppression looks back over
+the length of the longest detection in sorted order, so a text of many matches
+costs little more than their number.
 
 Only native expressions; no shuffle, so skew of any column is harmless.
 
 Defined cases: a null or empty text has 0 words, no place (first and last word
-null), empty labels and score 0. Repeated rows each get a row; a null doc_id is
-kept; other columns are ignored, whatever their names.
+null), empty labels and score 0. Texts are scanned whole, whatever their length.
+Equal detections of one rule count once; of rules with the same interval the
+earlier one wins. Repeated rows each get a row; a null doc_id is kept; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, let, sql
+from .common import doc_texts, let, running, sql
+from .license_rules import TABLE
 
 #: Fixed phrases with their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 
-@dataclass(frozen=True)
-class License:
-    """label; keyword: a string that each of its names holds; names, ids: regexes over normal words; id_keyword: the ids', if another."""
-
-    label: str
-    keyword: str
-    names: tuple[str, ...]
-    ids: tuple[str, ...] = ()
-    id_keyword: str = ""
-
-
-#: Families by label, keyword, names in running text, and identifiers.
-LICENSES = (
-    License("mit", "mit", ("mit licen[sc]e", "expat licen[sc]e mit"), ("mit",)),
-    License("apache-2", "apache", ("apache licen[sc]e(?: version)? 2(?: 0)?", "apache 2(?: 0)? licen[sc]e"), ("apache 2 0",)),
-    License("apache-1.1", "apache", ("apache (?:software )?licen[sc]e(?: version)? 1 1",), ("apache 1 1",)),
-    License("bsd-2-clause", "bsd", ("(?:simplified|2 clause|two clause|freebsd) bsd licen[sc]e", "bsd (?:2 clause|two clause)(?: licen[sc]e)?"), ("bsd 2 clause",)),
-    License("bsd-3-clause", "bsd", ("(?:new|modified|revised|3 clause|three clause) bsd licen[sc]e", "bsd (?:3 clause|three clause)(?: licen[sc]e)?"), ("bsd 3 clause",)),
-    License("bsd", "bsd", ("bsd(?: style)? licen[sc]e",), ("bsd",)),
-    License("gpl-2", "general", ("gnu general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?",), ()),
-    License("gpl-3", "general", ("gnu general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?",), ()),
-    License("gpl-2", "gpl", ("gpl ?(?:version |v)?2(?: 0)?(?: only| or later)?",), ("gpl 2 0(?: only| or later)?",)),
-    License("gpl-3", "gpl", ("gpl ?(?:version |v)?3(?: 0)?(?: only| or later)?",), ("gpl 3 0(?: only| or later)?",)),
-    License("gpl", "general", ("gnu general public licen[sc]e",), ()),
-    License("lgpl-2.1", "lesser", ("gnu lesser general public licen[sc]e(?: version)? 2 1",), ()),
-    License("lgpl-3", "lesser", ("gnu lesser general public licen[sc]e(?: version)? 3(?: 0)?",), ()),
-    License("lgpl", "lgpl", ("lgpl(?: ?v?[23](?: [01])?)?(?: only| or later)?",), ("lgpl [23] [01](?: only| or later)?",)),
-    License("agpl-3", "affero", ("gnu affero general public licen[sc]e(?: version)?(?: 3(?: 0)?)?",), ()),
-    License("agpl-3", "agpl", ("agpl ?v?3(?: 0)?",), ("agpl 3 0(?: only| or later)?",)),
-    License("mpl-2", "mozilla", ("mozilla public licen[sc]e(?: version| v)? 2(?: 0)?",), ()),
-    License("mpl-2", "mpl", ("mpl 2(?: 0)?",), ("mpl 2 0",)),
-    License("epl", "eclipse", ("eclipse public licen[sc]e(?: version| v)?(?: [12](?: 0)?)?",), ("epl [12] 0",), "epl"),
-    License("cddl", "development", ("common development and distribution licen[sc]e",), ()),
-    License("isc", "isc", ("isc licen[sc]e",), ("isc",)),
-    License("zlib", "zlib", ("zlib(?: libpng)? licen[sc]e",), ("zlib",)),
-    License("boost", "boost", ("boost software licen[sc]e(?: version)?(?: 1 0)?",), ("bsl 1 0",), "bsl"),
-    License("unlicense", "unlicense", ("the unlicense", "unlicense org"), ("unlicense",)),
-    License("wtfpl", "wtfpl", ("wtfpl(?: version 2)?",), ("wtfpl",)),
-    License("artistic", "artistic", ("artistic licen[sc]e(?: 2 0)?",), ("artistic 2 0",)),
-    License("cc0", "cc0", ("cc0(?: 1 0)?(?: universal)?",), ("cc0 1 0",)),
-    License("cc-by-nc-nd", "cc", ("cc by nc nd(?: [1-4] [05])?",), ("cc by nc nd [1-4] [05]",)),
-    License("cc-by-nc-sa", "cc", ("cc by nc sa(?: [1-4] [05])?",), ("cc by nc sa [1-4] [05]",)),
-    License("cc-by-nc", "cc", ("cc by nc(?: [1-4] [05])?",), ("cc by nc [1-4] [05]",)),
-    License("cc-by-sa", "cc", ("cc by sa(?: [1-4] [05])?",), ("cc by sa [1-4] [05]",)),
-    License("cc-by-nd", "cc", ("cc by nd(?: [1-4] [05])?",), ("cc by nd [1-4] [05]",)),
-    License("cc-by", "cc", ("cc by [1-4] [05]",), ("cc by [1-4] [05]",)),
-    License("cc-by-nc", "noncommercial", ("creative commons attribution noncommercial",), ()),
-    License("cc-by-sa", "sharealike", ("creative commons attribution sharealike",), ()),
-    License("cc-by", "creative", ("creative commons attribution licen[sc]e",), ()),
-    License("public-domain", "domain", ("(?:released|placed|dedicated) (?:in|into|to) the public domain",), ()),
-    License("ofl-1.1", "sil", ("sil open font licen[sc]e(?: version 1 1)?",), ("ofl 1 1",), "ofl"),
-    License("proprietary", "rights", ("all rights reserved",), ()),
-)
-
-#: Wordings around a name {n}, most explicit first: (regex, weight of the score).
-WORDINGS = (
-    ("(?:is |are )?(?:licen[sc]ed|released|distributed|available|published) under the (?:terms of the )?{n}", 1.0),
-    ("(?:is |are )?(?:licen[sc]ed|released|distributed|available|published) under (?:an? )?{n}", 1.0),
-    ("(?:subject to|governed by|covered by) the (?:terms of the )?{n}", 0.95),
-    ("under the (?:terms of the )?{n}", 0.9),
-    ("(?:dual|multi) licen[sc]ed (?:under )?(?:the )?{n}", 0.9),
-    ("licen[sc]e {n}", 0.8),
-    ("{n}", 0.7),
-)
-
-#: Wordings around an identifier {i}.
-ID_WORDINGS = (("spdx licen[sc]e identifier {i}", 1.0), ("licen[sc]e {i}", 0.8))
-
-
 @dataclass(frozen=True)
 class Rule:
+    """A lower priority number wins; keyword: a string that begins a word of each match."""
+
     priority: int
     label: str
     keyword: str
@@ -111,21 +49,12 @@ class Rule:
     score: float
 
 
+@lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """The ordered rules; a lower priority number wins."""
-    out = []
-    for order, lic in enumerate(LICENSES):
-        for k, (wording, score) in enumerate(ID_WORDINGS):
-            out += [Rule(10 + 100 * k + order, lic.label, lic.id_keyword or lic.keyword, wording.replace("{i}", f"(?:{i})"), score) for i in lic.ids]
-        for k, (wording, score) in enumerate(WORDINGS):
-            out += [Rule(300 + 100 * k + order, lic.label, lic.keyword, wording.replace("{n}", f"(?:{n})"), score) for n in lic.names]
-    return tuple(sorted(out, key=lambda r: (r.priority, r.regex)))
-
-
-def _always(regex: str) -> str:
-    """What of a regex stands in each of its matches: all but its groups, which may be optional or one of several."""
-    less = re.sub(r"\(\?:[^()]*\)\??", "", regex)
-    return less if less == regex else _always(less)
+    """The ordered rules of the table."""
+    lines = [line for line in TABLE.splitlines() if line and not line.startswith("#")]
+    fields = [[x.strip() for x in line.split(" | ", 3)] for line in lines]
+    return tuple(Rule(k, label, keyword, regex, float(score)) for k, (label, keyword, score, regex) in enumerate(fields, 1))
 
 
 def _gate() -> str:
@@ -134,10 +63,8 @@ def _gate() -> str:
     It tries its words after a separator only, grouped by first letter, so most
     characters of a text cost one class test.
     """
-    keys = {"license", "licence", "cc"}
-    for lic in LICENSES:
-        if not all("licen[sc]e" in _always(n) for n in lic.names):
-            keys.add(lic.keyword)
+    keys = {r.keyword for r in rules()} | {"licen", "cc"}  # those of the base phrases
+    keys = {k for k in keys if not any(k != o and k.startswith(o) for o in keys)}
     by_letter: dict[str, list[str]] = {}
     for k in sorted(keys):
         by_letter.setdefault(k[0], []).append(k[1:])
@@ -145,6 +72,11 @@ def _gate() -> str:
     return r"(?:^|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])(?:" + words + ")"
 
 
+def _words_in(x: str) -> str:
+    """SQL for the number of words of a part of the normal form: half its spaces."""
+    return f"cast(length({x}) - length(replace({x}, ' ', '')) AS bigint)"
+
+
 def _places(regex: str, of: str = "norm") -> str:
     """SQL for the (start, end) word places of a regex over whole words.
 
@@ -153,18 +85,20 @@ def _places(regex: str, of: str = "norm") -> str:
     where they start.
     """
     quoted = f" {doubled(regex)} ".replace("'", "\\'")
-    return let(
+    found = let(
         f"split({of}, '{quoted}', -1)",
         "p",
         let(
             f"regexp_extract_all({of}, '{quoted}', 0)",
             "m",
-            "transform(m, (x, i) -> struct("
-            "cast((aggregate(slice(p, 1, i + 1), 0, (a, y) -> a + length(y) - length(replace(y, ' ', ''))) + "
-            "aggregate(slice(m, 1, i), 0, (a, y) -> a + length(y) - length(replace(y, ' ', '')))) / 2 AS bigint) AS start, "
-            "cast((length(x) - length(replace(x, ' ', ''))) / 2 AS bigint) AS n))",
+            let(
+                running(f"transform(m, (x, i) -> {_words_in('p[i]')} + {_words_in('x')})"),
+                "e",
+                f"transform(m, (x, i) -> struct((e[i] - {_words_in('x')}) div 2 AS start, {_words_in('x')} div 2 AS n))",
+            ),
         ),
     )
+    return f"if({of} RLIKE '{quoted}', {found}, cast(array() AS array<struct<start:bigint,n:bigint>>))"
 
 
 def doubled(regex: str) -> str:
@@ -193,7 +127,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         ).alias("norm"),
     )
     phrases = [
-        f"transform({_places_overlapping(p)}, s -> struct(0 AS priority, s AS start, s + {p.count(' ') + 1} AS `end`, '{label}' AS label, 1.0D AS score))"
+        f"transform({_places_overlapping(p)}, s -> struct(s AS start, -(s + {p.count(' ') + 1}) AS back, 0 AS priority, '{label}' AS label, 1.0D AS score))"
         for p, label in BASE
     ]
     found = base.select(
@@ -205,7 +139,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     parts = []
     for keyword, group in gated.items():
         each = [
-            f"transform({_places(r.regex)}, x -> struct({r.priority} AS priority, x.start AS start, x.start + x.n AS `end`, '{r.label}' AS label, {r.score}D AS score))"
+            f"transform({_places(r.regex)}, x -> struct(x.start AS start, -(x.start + x.n) AS back, {r.priority} AS priority, '{r.label}' AS label, {r.score}D AS score))"
             for r in group
         ]
         parts.append(f"if(contains(norm, '{keyword}'), flatten(array({', '.join(each)})), cast(array() AS array<{_DETECTION}>))")
@@ -215,16 +149,23 @@ def license_scan(docs: DataFrame) -> DataFrame:
         names.append(f"more{i}")
         found = found.withColumn(names[-1], sql(f"if(norm = '', cast(array() AS array<{_DETECTION}>), concat({', '.join(parts[i : i + 6])}))"))
     found = found.select("doc_id", "n_words", "base", F.concat("base", *names).alias("every"))
-    kept = found.select(
-        "doc_id",
-        "n_words",
-        "base",
-        sql(
-            "array_sort(array_distinct(filter(every, d -> d.priority = 0 OR NOT exists(every, o -> "
-            "o.start <= d.start AND o.`end` >= d.`end` AND (o.priority < d.priority OR "
-            "(o.priority = d.priority AND o.`end` - o.start > d.`end` - d.start))))))"
-        ).alias("detections"),
+    # Sorted by start and then by falling end, whatever holds a detection stands before it, and begins at most as many
+    # words before it as the longest detection has; where those begin is found by steps of halving length.
+    steps = "array(" + ", ".join(str(1 << k) for k in range(30, -1, -1)) + ")"
+    swept = let(
+        "array_sort(every)",
+        "s",
+        let(
+            "coalesce(array_max(transform(s, d -> -d.back - d.start)), 0L)",
+            "w",
+            "transform(filter(transform(s, (d, i) -> struct(d AS d, i AS i)), x -> (x.i = 0 OR x.d <> s[x.i - 1]) AND (x.d.priority = 0 OR NOT exists("
+            f"slice(s, aggregate({steps}, x.i, (j, k) -> if(j >= k AND s[j - k].start >= x.d.start - w, j - k, j)) + 1, "
+            f"x.i - aggregate({steps}, x.i, (j, k) -> if(j >= k AND s[j - k].start >= x.d.start - w, j - k, j))), o -> "
+            "o.back <= x.d.back AND (o.priority < x.d.priority OR (o.priority = x.d.priority AND o.start + o.back < x.d.start + x.d.back))))), "
+            "x -> struct(x.d.priority AS priority, x.d.start AS start, -x.d.back AS `end`, x.d.label AS label, x.d.score AS score))",
+        ),
     )
+    kept = found.select("doc_id", "n_words", "base", sql(swept).alias("detections"))
     return kept.select(
         "doc_id",
         "n_words",
@@ -238,7 +179,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     )
 
 
-_DETECTION = "struct<priority:int,start:bigint,end:bigint,label:string,score:double>"
+_DETECTION = "struct<start:bigint,back:bigint,priority:int,label:string,score:double>"
 
 
 def _places_overlapping(phrase: str) -> str:
@@ -248,6 +189,5 @@ def _places_overlapping(phrase: str) -> str:
     return let(
         f"split(norm, '{ahead}', -1)",
         "p",
-        "transform(slice(p, 1, size(p) - 1), (x, i) -> cast("
-        "aggregate(slice(p, 1, i + 1), 0, (a, y) -> a + length(y) - length(replace(y, ' ', ''))) / 2 + i AS bigint))",
+        let(running(f"transform(p, x -> {_words_in('x')})"), "e", "transform(slice(e, 1, size(e) - 1), (x, i) -> x div 2 + i)"),
     )
