@@ -8,17 +8,21 @@ sections hash to MD5, the root is the SHA-256 of the sections. Nothing is
 dropped on the way down, so equal roots mean equal texts.
 
 A fingerprint reads ``root|section:paragraphs,...|leaves of paragraph,...``:
-roots test equality, and differing branches locate edits. Likeness compares two
-fingerprints: 1 for equal roots, else Dice's coefficient of their leaves, each
+roots test equality, and ``differences`` locates edits by descending into
+branches that differ: from the roots to the sections that the other tree lacks,
+and from these to their paragraphs that the other's differing sections lack.
+Likeness is 1 for equal roots, else Dice's coefficient of the leaves, each
 counted as often as it occurs.
 
 Only native expressions. One document's expressions depend on its own text;
 ``with_next`` pairs neighbours by doc_id with a single shuffle.
 
 Defined cases: null and empty texts are one empty paragraph; two such texts are
-alike 1. A null doc_id counts as the smallest. Rows of one doc_id count as one
-document, with the least of their texts, when they are another one's next. The
-only document is its own next. Other columns are ignored.
+alike 1. Texts are taken whole, whatever their length. A null doc_id counts as
+the smallest. Rows of one doc_id count as one document, with the least of their
+texts, when they are another one's next; each still gets its own row. The only
+document is its own next. An empty table gives no rows. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, let, sql
+from .common import doc_texts, let, running, sql
 
 PIECE_WORDS = 4
 _EMPTY = "d41d8cd98f00b204e9800998ecf8427e"  # MD5 of the empty string
@@ -34,6 +38,8 @@ _EMPTY = "d41d8cd98f00b204e9800998ecf8427e"  # MD5 of the empty string
 RANGE_ROWS = 1024
 MOST_RANGES = 4096
 _NULL_ID = -(2**63)
+#: Lengths of the steps in which the begin of a run is looked for, the longest first.
+_STEPS = "array(" + ", ".join(str(1 << k) for k in range(20, -1, -1)) + ")"
 
 
 def tree(text: str) -> Column:
@@ -44,8 +50,7 @@ def tree(text: str) -> Column:
     sections = f"filter(split(regexp_replace(s, '(,[0-3][0-9a-f]{{31}}[.]|,{_EMPTY}[.])', '$1;'), ';'), x -> x != '')"
     # In sorted order equal leaves stand together. Where a run begins is found by steps of halving length, so that the
     # second of two equal leaves differs from the first, and sets of leaves count repeats.
-    steps = "array(" + ", ".join(str(1 << k) for k in range(20, -1, -1)) + ")"
-    first = f"aggregate({steps}, k, (i, d) -> if(i >= d AND get(s, i - d) = x, i - d, i))"
+    first = f"aggregate({_STEPS}, k, (i, d) -> if(i >= d AND get(s, i - d) = x, i - d, i))"
     numbered = let(
         f"array_sort(transform(filter(flatten(t), x -> x != '{_EMPTY}'), x -> substr(x, 1, 8)))",
         "s",
@@ -70,6 +75,47 @@ def likeness(a: str, b: str) -> Column:
     )
 
 
+def _lacking(a: str, b: str) -> str:
+    """SQL for the ascending positions of the strings in array a that array b does not hold.
+
+    Sorted together, equal strings stand side by side, those of b first; where they begin is found by steps of halving length.
+    """
+    both = f"array_sort(concat(transform({b}, x -> struct(x AS x, 0 AS side, -1 AS i)), transform({a}, (x, i) -> struct(x AS x, 1 AS side, i AS i))))"
+    first = f"aggregate({_STEPS}, z.k, (j, d) -> if(j >= d AND get(lk, j - d).x = z.y.x, j - d, j))"
+    numbered = "transform(lk, (y, k) -> struct(y AS y, k AS k))"
+    return let(both, "lk", f"array_sort(transform(filter({numbered}, z -> z.y.side = 1 AND lk[{first}].side = 1), z -> z.y.i))")
+
+
+def differences(a: str, b: str) -> Column:
+    """struct(sections, paragraphs): positions in the first fingerprint of the branches that the second lacks.
+
+    Only paragraphs of differing sections are compared, with those of the other's differing sections.
+    """
+
+    def paragraphs(of: str, sections: str, differing: str) -> str:
+        counts = f"transform({sections}, x -> cast(split_part(x, ':', 2) AS bigint))"
+        ends = let(running(counts), "pe", f"flatten(transform({differing}, i -> sequence(cast(pe[i] - cast(split_part({sections}[i], ':', 2) AS int) AS int), cast(pe[i] - 1 AS int))))")
+        return let(f"split({of}[2], ',', -1)", "ps", let(ends, "pi", "transform(pi, i -> struct(i AS i, ps[i] AS p))"))
+
+    none = "cast(array() AS array<int>)"
+    found = let(
+        paragraphs("fa", "sa", "da"),
+        "qa",
+        let(
+            paragraphs("fb", "sb", "db"),
+            "qb",
+            f"named_struct('sections', da, 'paragraphs', transform({_lacking('transform(qa, x -> x.p)', 'transform(qb, x -> x.p)')}, i -> qa[i].i))",
+        ),
+    )
+    descent = let(
+        "split(fa[1], ',', -1)",
+        "sa",
+        let("split(fb[1], ',', -1)", "sb", let(_lacking("sa", "sb"), "da", let(_lacking("sb", "sa"), "db", found))),
+    )
+    whole = let(f"split({a}, '[|]', -1)", "fa", let(f"split({b}, '[|]', -1)", "fb", f"if(fa[0] = fb[0], named_struct('sections', {none}, 'paragraphs', {none}), {descent})"))
+    return sql(whole)
+
+
 def _range_of(bounds: list[int]) -> Column:
     """The number of bounds that k reaches, found in two steps of about the root of their number."""
     if not bounds:
@@ -116,7 +162,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness.
+    """Fingerprints of each text and of its edited text, their likeness, and how many sections and paragraphs the edit changed.
 
     Edited: the last floor(n_chars / 2) code points make way for the first as
     many, or all, of the next document's text.
@@ -131,4 +177,5 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256",
         F.col("own.fingerprint").alias("fingerprint"), F.col("edit.fingerprint").alias("edited_fingerprint"),
         likeness("own", "edit").alias("near_edited"), likeness("own", "follow").alias("near_next"),
-    )
+        differences("own.fingerprint", "edit.fingerprint").alias("changed"),
+    ).withColumns({f"changed_{x}": F.size(f"changed.{x}").cast("long") for x in ("sections", "paragraphs")}).drop("changed")

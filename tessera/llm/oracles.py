@@ -32,13 +32,21 @@ each AS (SELECT doc_id, kind, unnest(every_leaf) AS leaf FROM cut_trees),
 numbered AS (SELECT doc_id, kind, leaf || ':' || row_number() OVER (PARTITION BY doc_id, kind, leaf) AS leaf FROM each),
 gathered AS (SELECT doc_id, kind, list(leaf) AS leaves FROM numbered GROUP BY 1, 2),
 trees AS (SELECT c.*, coalesce(g.leaves, []) AS leaves FROM cut_trees c LEFT JOIN gathered g ON g.doc_id = c.doc_id AND g.kind = c.kind),
+secs AS (SELECT doc_id, kind, unnest(string_split(sections, ',')) AS x, unnest(range(1, len(string_split(sections, ',')) + 1)) AS i FROM cut_trees),
+ends AS (SELECT doc_id, kind, x, CAST(split_part(x, ':', 2) AS BIGINT) AS n, CAST(sum(CAST(split_part(x, ':', 2) AS BIGINT)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM secs),
+odd AS (SELECT * FROM ends s WHERE NOT EXISTS (SELECT 1 FROM ends o WHERE o.doc_id = s.doc_id AND o.kind = 1 - s.kind AND o.x = s.x)),
+spread AS (SELECT doc_id, kind, unnest(range(e - n + 1, e + 1)) AS j FROM odd),
+pars AS (SELECT s.doc_id, s.kind, string_split(t.paragraphs, ',')[s.j] AS p FROM spread s JOIN cut_trees t ON t.doc_id = s.doc_id AND t.kind = s.kind),
+in_sections AS (SELECT doc_id, count(*) AS n FROM odd WHERE kind = 0 GROUP BY 1),
+in_paragraphs AS (SELECT doc_id, count(*) AS n FROM pars a WHERE kind = 0 AND NOT EXISTS (SELECT 1 FROM pars b WHERE b.doc_id = a.doc_id AND b.kind = 1 AND b.p = a.p) GROUP BY 1),
 near AS (SELECT p.doc_id, p.n_chars, sha256(p.edited) AS edited_sha256, a.root || '|' || a.sections || '|' || a.paragraphs AS fingerprint,
   e.root || '|' || e.sections || '|' || e.paragraphs AS edited_fingerprint, a.root AS ra, e.root AS re, x.root AS rx, a.leaves AS la, e.leaves AS le, x.leaves AS lx
   FROM pairs p JOIN trees a ON a.doc_id = p.doc_id AND a.kind = 0 JOIN trees e ON e.doc_id = p.doc_id AND e.kind = 1 JOIN trees x ON x.doc_id = p.next_id AND x.kind = 0)
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
   CASE WHEN ra = re THEN 1.0 WHEN len(la) + len(le) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(la, le)) / (len(la) + len(le)) END::DOUBLE AS near_edited,
-  CASE WHEN ra = rx THEN 1.0 WHEN len(la) + len(lx) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(la, lx)) / (len(la) + len(lx)) END::DOUBLE AS near_next
-FROM near"""
+  CASE WHEN ra = rx THEN 1.0 WHEN len(la) + len(lx) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(la, lx)) / (len(la) + len(lx)) END::DOUBLE AS near_next,
+  coalesce(s.n, 0) AS changed_sections, coalesce(q.n, 0) AS changed_paragraphs
+FROM near LEFT JOIN in_sections s USING (doc_id) LEFT JOIN in_paragraphs q USING (doc_id)"""
 
 
 def _secret_rule(order: int, rule: secrets.Rule) -> str:

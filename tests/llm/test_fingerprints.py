@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from tessera.llm.merkle import document_fingerprints, edited_fingerprints, with_next
+from tessera.llm.merkle import differences, document_fingerprints, edited_fingerprints, with_next
 
 
 def pairs(rows):
@@ -64,3 +64,39 @@ def test_edit_is_located(spark):
     df = spark.createDataFrame([(0, base), (1, base.replace("number 17 ", "figure 17 "))], "doc_id long, text string")
     a, b = (r.fingerprint.split("|")[2].split(",") for r in document_fingerprints(df).orderBy("doc_id").collect())
     assert [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y] == [17]
+
+
+def located(a, b):
+    """differences() by brute force."""
+    (ra, sa, pa), (rb, sb, pb) = ([x if k == 0 else x.split(",") for k, x in enumerate(f.split("|"))] for f in (a, b))
+    if ra == rb:
+        return [], []
+
+    def inside(sections, paragraphs, picked):
+        at, out = 0, []
+        for i, x in enumerate(sections):
+            n = int(x.split(":")[1])
+            out += [(j, paragraphs[j]) for j in range(at, at + n)] if i in picked else []
+            at += n
+        assert at == len(paragraphs)
+        return out
+
+    da, db = [i for i, x in enumerate(sa) if x not in sb], [i for i, x in enumerate(sb) if x not in sa]
+    other = {p for _, p in inside(sb, pb, db)}
+    return da, [i for i, p in inside(sa, pa, da) if p not in other]
+
+
+def test_descent(spark, docs):
+    """Differing branches, against brute force, of edits anywhere and of texts that have nothing in common."""
+    base = "\n".join(f"Paragraph number {i} stands here." if i % 5 else "" for i in range(200))
+    texts = [base, base.replace("number 17 ", "figure 17 "), "Ahead\n" + base, base + "\nafter", "\n".join(base.split("\n")[:90]), base.replace("number", "figure"), "", "x", "a\n\na\n\na", "a\n\na"]
+    texts += [r.text for r in docs.limit(12).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = document_fingerprints(df).select("doc_id", "fingerprint").cache()
+    pairs = fps.toDF("i", "a").crossJoin(fps.toDF("j", "b")).select("i", "j", "a", "b", differences("a", "b").alias("d"))
+    rows = pairs.collect()
+    assert [(r.i, r.j) for r in rows if (list(r.d.sections), list(r.d.paragraphs)) != tuple(located(r.a, r.b))] == []
+    one = next(r.d for r in rows if (r.i, r.j) == (0, 1))
+    assert one.paragraphs == [17] and len(one.sections) == 1
+    assert all(not r.d.sections for r in rows if r.i == r.j)
+    fps.unpersist()
