@@ -13,20 +13,29 @@ that a third of all texts hold is just that many rows.
 Only native expressions on the executors; the queries are derived on the driver
 from the rule table alone.
 
-Defined cases: null and empty texts have no spans. Repeated rows each get a
-row; a null doc_id is kept; other columns are ignored.
+Defined cases: null and empty texts have no spans. Texts are scanned whole,
+whatever their length and number of matches. Spans that start alike stand in the
+order of the rules. Repeated rows each get a row; a null doc_id is kept; an empty
+table gives no rows; other columns are ignored, whatever their names, and kept by
+``redact``.
 """
 
 from __future__ import annotations
 
+import importlib
 from dataclasses import dataclass
-from re import _constants as K
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, sql
+from .common import doc_texts, let, running, sql
+
+
+# Python's own reading of a regex as a syntax tree: not a public name before or after 3.11, so both are tried.
+try:
+    K, _parser = importlib.import_module("re._constants"), importlib.import_module("re._parser")
+except ModuleNotFoundError:
+    K, _parser = importlib.import_module("sre_constants"), importlib.import_module("sre_parse")
 
 
 @dataclass(frozen=True)
@@ -248,25 +257,42 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     )
 
 
+#: Code points of a block of text, from which redaction takes its parts.
+_PIECE = 4096
+
+
+def _redacted(text: str, spans: str) -> str:
+    """SQL for a text with kinds in brackets for spans (sorted); overlapping spans become one, of the first one's kind.
+
+    Parts are taken from blocks of the text and joined once, so that many spans cost little more than their number.
+    """
+    part = (
+        f"substr(array_join(slice(tb, cast(pf div {_PIECE} + 1 AS int), cast((pt - 1) div {_PIECE} - pf div {_PIECE} + 1 AS int)), ''), "
+        f"cast(pf % {_PIECE} + 1 AS int), cast(pt - pf AS int))"
+    )
+
+    def taken(frm: str, to: str) -> str:
+        return let(f"cast({frm} AS bigint)", "pf", let(f"cast({to} AS bigint)", "pt", f"if(pt <= pf, '', {part})"))
+
+    # reach: how far the spans up to each one go. A span that starts at or after the reach before it is written out.
+    body = (
+        "concat(array_join(transform(filter(transform(sp, (x, i) -> struct(x.start AS start, x.kind AS kind, if(i = 0, 0L, re[i - 1]) AS reach)), x -> x.start >= x.reach), "
+        f"x -> concat({taken('x.reach', 'x.start')}, '[', upper(x.kind), ']')), ''), {taken('element_at(re, -1)', 'length(tx)')})"
+    )
+    blocks = f"transform(sequence(0, length(tx) div {_PIECE}), i -> substr(tx, cast(i * {_PIECE} + 1 AS int), {_PIECE}))"
+    reach = running("transform(sp, x -> x.`end`)", "greatest(ra, ry)")
+    return let(text, "tx", let(spans, "sp", let(blocks, "tb", let(reach, "re", body))))
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret replaced by its kind in brackets, and n_chars (if there) counted anew."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     of = dict(zip(docs.columns, names, strict=True))
     flat = docs.toDF(*names).withColumn("text", F.coalesce(F.col(of["text"]), F.lit("")))
     scanned = _with_spans(flat.withColumn("key", F.xxhash64(F.col(of["doc_id"]).cast("long"), "text")), rules)
-    clean = F.aggregate(
-        F.col("spans"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))),
-    )
-    new = {of["text"]: F.when(F.size("spans") > 0, clean).otherwise(F.col(of["text"]))}
+    cleaned = scanned.withColumn("clean", F.when(F.size("spans") > 0, sql(_redacted("text", "spans"))))
+    new = {of["text"]: F.coalesce("clean", F.col(of["text"]))}
     if "n_chars" in of:
-        new[of["n_chars"]] = F.when(F.size("spans") > 0, F.length(clean).cast("long")).otherwise(F.col(of["n_chars"]))
-    return scanned.select(*[new.get(c, F.col(c)).alias(c) for c in names]).toDF(*docs.columns)
+        kind = docs.schema[docs.columns.index("n_chars")].dataType
+        new[of["n_chars"]] = F.when(F.col("clean").isNotNull(), F.length("clean").cast(kind)).otherwise(F.col(of["n_chars"]))
+    return cleaned.select(*[new.get(c, F.col(c)).alias(c) for c in names]).toDF(*docs.columns)

@@ -77,3 +77,22 @@ def test_redaction(spark, edge, empty):
     plain = lambda df: sorted(map(repr, df.where("doc_id <> -5 OR doc_id IS NULL").collect()))
     assert plain(red) == plain(edge)
     assert redact(empty).count() == 0 and secret_report(empty).count() == 0
+
+
+def test_redaction_of_many_spans(spark):
+    """Against a loop in Python: many matches, overlapping ones, and parts on either side of a block's end."""
+    key = "AKIA" + "ABCDEFGH" * 2
+    texts = [
+        " ".join(f"{key}{i:04d} word{i} é😀" for i in range(3000)), f"token={key}XXXXXX and deadbeefdeadbeef" * 3, "x" * 4096 + key, "x" * 4095 + " " + key + " " + "y" * 9000 + " " + key,
+        key, f"{key} {key}", f"bearer {'a' * 30} password: {key}", "https://user:password=abcdefabcdefabcdef@host",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan(df).collect()}
+    found = {r.doc_id: r.text for r in redact(df).collect()}
+    for i, t in enumerate(texts):
+        at, out = 0, ""
+        for s in spans[i]:
+            if s["start"] >= at:
+                out += t[at : s["start"]] + f"[{s['kind'].upper()}]"
+            at = max(at, s["end"])
+        assert found[i] == out + t[at:], i
