@@ -10,13 +10,15 @@ complete distance, and components are built over the links.
 
 Copies cost nothing: the search runs over distinct fingerprints. At a table
 entry not all pairs are emitted but a spanning forest of its links, and an
-entry of many fingerprints is dealt out once more by the bytes of the other
-segment, one of which two linked fingerprints share.
+entry of many fingerprints is dealt out by pieces of the other segment, one of
+which two linked fingerprints share, again and again until each part is small.
 
 Defined cases: null, empty and white-space texts have fingerprint 0 and link
-like any other. A null doc_id is a component's id only if it has no other.
-Repeated rows each get a row (``keep_one`` keeps one of them). Other columns are
-ignored, and kept by ``keep_one``.
+like any other. Texts are read whole, whatever their length. A null doc_id is a
+component's id only if it has no other. Repeated rows each get a row (``keep_one``
+keeps one of them; of several texts of one doc_id that of the least hash). An
+empty table gives no rows. Other columns are ignored, whatever their names, and
+kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -30,14 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, frugal, sql, written
+from .common import doc_texts, frugal, let, sql, written
 from .components import components
 
 WORDS = 3
 DISTANCE = 3
 _NULL_ID = 2**63 - 1
-#: Fingerprints at one table entry from which on it is dealt out again.
+#: Fingerprints at one table entry above which it is dealt out again, and how often at most: after 7 times 28 of 32 bits are named.
 CROWDED = 4096
+LEVELS = 7
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -114,8 +117,23 @@ def _verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
     yield from links(carry_k, carry_f)
 
 
+def _dealt(crowded: DataFrame) -> DataFrame:
+    """(fp, key, mask): rows of crowded keys, each under four keys more.
+
+    Two fingerprints that link differ in 3 or fewer bits of the segment that is not the key's, so of four pieces that
+    make up its bits outside mask they share one whole. A new key is the old one and the bits of one piece.
+    """
+    other = "if((key & 4294967296L) <> 0L, shiftrightunsigned(fp, 32), fp & 4294967295L)"
+    free = "filter(sequence(0, 31), i -> (shiftrightunsigned(mask, i) & 1L) = 0L)"
+    pieces = let(free, "f", "transform(sequence(0, 3), j -> aggregate(slice(f, j * ((size(f) + 3) div 4) + 1, (size(f) + 3) div 4), 0L, (a, i) -> a | shiftleft(1L, i)))")
+    # The table stays the one of the key: its bit 32 is carried over.
+    named = f"struct((xxhash64(key, p, {other} & p) & 4294967295L) | (key & 4294967296L) | (xxhash64(p, {other} & p, key) & -8589934592L) AS key, mask | p AS mask)"
+    return crowded.select("fp", F.explode(sql(f"transform({pieces}, p -> {named})")).alias("r")).select("fp", "r.key", "r.mask")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints (column fp) at 3 or fewer bits."""
+    crowd = CROWDED
     table = fps.select(
         "fp",
         F.explode(
@@ -129,19 +147,22 @@ def links(fps: DataFrame) -> DataFrame:
     rows = table.select(
         "fp", F.explode(sql("concat(array(struct(s.own AS key, true AS own)), transform(s.ball, k -> struct(k AS key, false AS own)))")).alias("r")
     ).select("fp", "r.key", "r.own")
-    met = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("own AND n > 1").select("key", "n")
-    meeting = rows.select("fp", "key").join(met, "key")
-    # One of the other segment's four bytes is shared by any two that link here.
-    split = meeting.select(
-        "fp",
-        F.explode(
-            sql(
-                f"if(n <= {CROWDED}, array(key), transform(sequence(0, 3), j -> xxhash64(key, j, "
-                "shiftrightunsigned(if(key >= 4294967296L, shiftrightunsigned(fp, 32), fp & 4294967295L), 8 * j) & 255L)))"
-            )
-        ).alias("key"),
-    )
-    dealt = split.repartition("key").sortWithinPartitions("key")
+    met = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("own AND n > 1").select("key", "n"))
+    meeting = rows.select("fp", "key").join(met, "key").withColumn("mask", F.lit(0).cast("long"))
+    small = meeting.where(F.col("n") <= crowd).select("fp", "key")
+    most = met.agg(F.max("n")).first()[0] or 0
+    # Entries of many fingerprints are dealt out again and again, until each is small or names all bits but a few.
+    for _ in range(LEVELS):
+        if most <= crowd:
+            break
+        again = written(_dealt(meeting.where(F.col("n") > crowd)))
+        counts = again.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        meeting = again.join(counts, "key")
+        small = small.unionByName(meeting.where(F.col("n") <= crowd).select("fp", "key"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+    else:
+        small = small.unionByName(meeting.where(F.col("n") > crowd).select("fp", "key"))
+    dealt = small.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(lambda it: frugal(_verify(it, DISTANCE)), "a long, b long").distinct()
 
 

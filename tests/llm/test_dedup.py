@@ -97,6 +97,32 @@ def test_chains_and_crowds(spark, monkeypatch):
     assert len(found) < len(fps) / 2
 
 
+def test_one_huge_group(spark, monkeypatch):
+    """A crowd at one entry of either segment is dealt out until each part is small, and no link is lost."""
+    import tessera.llm.simhash as m
+
+    monkeypatch.setattr(m, "CROWDED", 16)
+    sizes = []
+    rng = random.Random(3)
+    low = {rng.getrandbits(32) for _ in range(1500)}
+    near = {x ^ sum(1 << b for b in rng.sample(range(32), rng.choice((1, 2, 3)))) for x in rng.sample(sorted(low), 300)}
+    fps = sorted({(77 << 32) + x for x in low | near} | {(x << 32) + 99 for x in low | near})
+    signed = [(int(np.uint64(f).astype(np.int64)),) for f in fps]
+    found = {frozenset(r) for r in links(spark.createDataFrame(signed, "fp long")).collect()}
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 3 for a, b in map(tuple, (x if len(x) == 2 else [*x, *x] for x in found)))
+    stars = {r.node: r.component for r in components(links(spark.createDataFrame(signed, "fp long")), "a", "b").collect()}
+    group = brute_components(fps)
+    seen = {}
+    for g, (f,) in zip(group, signed, strict=True):
+        seen.setdefault(g, set()).add(stars.get(f, f))
+    assert all(len(v) == 1 for v in seen.values()) and len({next(iter(v)) for v in seen.values()}) == len(seen)
+    rows = spark.createDataFrame([(f, 77, 0) for (f,) in signed[:1500]], "fp long, key long, mask long")
+    for _ in range(3):
+        rows = m._dealt(rows)
+        sizes.append(rows.groupBy("key").count().agg({"count": "max"}).first()[0])
+    assert sizes[-1] < sizes[0] < 200
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 200) if i % 50] + [(1000, rng.randint(1001, 1100)) for _ in range(150)] + [(7, 7), (2000, 1999)]
@@ -179,7 +205,7 @@ def repeated(texts, n_groups=8, heavy=()):
     for i, t in enumerate(texts):
         batch = pa.record_batch([pa.array([i], pa.int64()), pa.array([0], pa.int32()), pa.array([t])], names=["k", "th", "text"])
         dealt += substrings._suffixes(iter([batch]), n_groups, 20, 8, np.array(heavy, np.int64))
-    return dealt, sorted(tuple(r.values()) for b in substrings._repeats(iter(dealt)) for r in b.to_pylist())
+    return dealt, sorted(tuple(r.values())[:4] for b in substrings._repeats(iter(dealt)) for r in b.to_pylist())
 
 
 def hot_texts(n):
@@ -225,6 +251,20 @@ def test_hot_anchors_are_split(spark, monkeypatch):
     assert check_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) > 1000
 
 
+def test_windows_whose_hashes_collide(spark, monkeypatch):
+    """Words decide: where different windows have equal hashes, all is done again with other values."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdef", k=5)) for _ in range(40)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(30)]
+    texts += [texts[0], "x " + texts[1] + " y", " ".join(texts[2].split()[10:45])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    tried, real, once = [], substrings._values, substrings._once
+    # Equal values: words of one length have one hash, so all windows of these texts seem equal.
+    monkeypatch.setattr(substrings, "_values", lambda salt: np.full(256, 3, np.uint64) if salt < 2 else real(salt))
+    monkeypatch.setattr(substrings, "_once", lambda *a: tried.append(a[-1]) or once(*a))
+    assert check_substrings(df) == 60 + 60 + 35 and tried == [0, 1, 2]
+
+
 def test_word_hashes():
     texts = [b"one two", b"", b" two\tthree ", b"x" * 3000 + b" one"]
     off = np.cumsum([0, *map(len, texts)])
