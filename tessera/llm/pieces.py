@@ -20,9 +20,12 @@ The frequent words are at most FREQUENT, so their table has a size bound and is
 sent to the executors. All other words are exact too: the same lattice and
 Viterbi run for them where they stand, in Python, with a bounded cache.
 
-Defined cases: null and empty texts have no pieces. Texts that hold U+2581
-itself decode to spaces in its place, as in the format. Repeated rows each get
-a row; a null doc_id is kept; other columns are ignored.
+Defined cases: null and empty texts have no pieces. Texts and words of any length
+are encoded whole. Texts that hold U+2581 itself decode to spaces in its place, as
+in the format. Of pairs that merge alike the leftmost merges first; words of like
+counts enter the frequent ones together or not at all. Repeated rows each get a
+row; a null doc_id is kept; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -370,14 +373,55 @@ def _encode(batches: Iterator[pa.RecordBatch], pieces: Pieces, table: dict[str,
             yield pa.record_batch([chunk.column("doc_id"), pa.array(n), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
 
-def encode(docs: DataFrame, model: str = MODEL, most: int = FREQUENT) -> DataFrame:
-    """doc_id, n_tokens, ids, round_trip (decoding the ids gives the text back) of every document."""
+def _rare(batches: Iterator[pa.RecordBatch], lines: bool, table: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk in chunks(batch, "text", _CHUNK_BYTES):
+            rows, words = [], []
+            for row, text in zip(chunk.column("row").to_pylist(), chunk.column("text").to_pylist(), strict=True):
+                found = {w for w in split_words(text, lines) if w not in table} if text else ()
+                rows += [row] * len(found)
+                words += found
+            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(words, pa.string())], names=["row", "word"])
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], pieces: Pieces, table: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, rare in zip(batch.column("text").to_pylist(), batch.column("rare").to_pylist(), strict=True):
+            own = {r["word"]: np.array(r["ids"], np.int32).tobytes() for r in rare or ()}
+            words = split_words(text, pieces.lines) if text else ()
+            out.append(np.frombuffer(b"".join([table[w] if w in table else own[w] for w in words]), np.int32))
+        same = [pieces.decode(i) == t for i, t in zip(out, batch.column("text").to_pylist(), strict=True)]
+        n = [len(i) for i in out]
+        yield pa.record_batch(
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([i.tolist() for i in out], pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"]
+        )
+
+
+_ENCODED = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
+
+
+def encode(docs: DataFrame, model: str = MODEL, most: int = FREQUENT, joined: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip (decoding the ids gives the text back) of every document.
+
+    joined: the words that are not among the frequent ones go through the lattice in Spark too, and are joined back by
+    document and word. The result is the same; see the README for what either way costs.
+    """
     pieces = load_pieces(model)
     texts = doc_texts(docs)
     spark = docs.sparkSession
     rows = encode_words(frequent_words(texts, pieces.lines, most), pieces).collect()  # at most `most` short rows
     table = spark.sparkContext.broadcast({r["word"]: np.array(r["ids"], np.int32).tobytes() for r in rows})
-    return texts.mapInArrow(lambda it: frugal(_encode(it, pieces, table.value)), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    del rows
+    if not joined:
+        return texts.mapInArrow(lambda it: frugal(_encode(it, pieces, table.value)), _ENCODED)
+    keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+    lines = pieces.lines
+    rare = written(keyed.select("row", "text").mapInArrow(lambda it: frugal(_rare(it, lines, table.value)), "row long, word string").distinct())
+    ids = encode_words(rare.select("word").distinct(), pieces)
+    held = rare.join(ids, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
+    back = keyed.join(held, "row", "left").select("doc_id", "text", "rare")
+    return back.mapInArrow(lambda it: frugal(_assembled(it, pieces, table.value)), _ENCODED)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,11 @@ time. The model is a dictionary of a few thousand weights, of fixed size.
 
 Defined cases: null and empty pages, and pages without text, give an empty
 text. Unclosed comments and scripts end with the page, other unclosed tags with
-their parent. Repeated rows each get a row; a null page_id is kept; other columns are ignored.
+their parent; the tags of html, head and body may be left out. White space is
+that of Unicode, U+00A0 included. Pages are read whole, whatever their length. Of
+labellings that score alike the one with the earlier blocks outside the article
+wins. Repeated rows each get a row; a null page_id is kept; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,7 +52,6 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|aria-label|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 @dataclass
@@ -86,7 +89,7 @@ def blocks(page: str) -> list[Block]:
             text = "".join(parts)
             if "&" in text:
                 text = html.unescape(text)
-            text = _SPACE.sub(" ", text).strip(" ")
+            text = " ".join(text.split())  # white space of any kind, U+00A0 too
             if text:
                 out.append(Block(text, tuple(stack), min(linked, len(text))))
             parts.clear()
@@ -167,7 +170,8 @@ _FAMILIES = {
     "ad": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner adsense dfp outbrain taboola commercial",
     "note": "cookie cookies consent gdpr notice notices alert alerts warning message popup modal overlay toast paywall disclaimer banner announcement",
     "form": "form search login signin signup register subscribe subscription newsletter contact input email",
-    "talk": "comment comments commentlist reply replies respond discussion disqus feedback reader reviews thread forum",
+    "talk": "comment comments commentlist reply replies respond response responses discussion discuss disqus feedback reader readers reviews thread threads forum "
+    "remark remarks opinion opinions talkback guestbook chat conversation conversations say says thoughts",
     "share": "share sharing social follow like tweet buttons author byline bio meta date",
     "hide": "hidden none sr only visually invisible",
     "body": "article content post entry body main story text page prose paragraph blog news articlebody maincontent",
@@ -422,9 +426,14 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[list[Block], list[int]]
             inner = wrap(rng.choice(("div", "div", "section", "article")), "body", inner)
         if rng.random() < 0.3:
             inner = wrap("div", "body", inner, 0.5)
-        before = [rng.choice((nav, nav, top, top, advert, note, form, side))() for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4)))]
-        after = [rng.choice((foot, foot, talk, side, nav, advert, form, note))() for _ in range(rng.choice((0, 1, 1, 2, 2, 3)))]
-        page = f"<html><head><title>{words()}</title></head><body>{''.join(before)}{inner}{''.join(after)}</body></html>"
+        alone = rng.random() < 0.12
+        if alone and kind >= 0.3:  # a plain page: an article and nothing else
+            inner = "".join(re.sub(r">([^<]+)", lambda m: ">" + mark(m[1]), paragraph()) for _ in range(rng.choice((1, 2, 2, 3, 5, 8))))
+            inner = rng.choice((inner, f"<div>{inner}</div>", f"<main>{inner}</main>"))
+        before = [] if alone else [rng.choice((nav, nav, top, top, advert, note, form, side))() for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4)))]
+        after = [] if alone else [rng.choice((foot, foot, talk, side, nav, advert, form, note))() for _ in range(rng.choice((0, 1, 1, 2, 2, 3)))]
+        page = f"{''.join(before)}{inner}{''.join(after)}"
+        page = rng.choice((f"<html><head><title>{words()}</title></head><body>{page}</body></html>",) * 3 + (f"<html><head><title>{words()}</title>{page}", page))
         seen = blocks(page)
         labels = [int("\x01" in b.text) for b in seen]
         for b in seen:

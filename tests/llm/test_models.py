@@ -179,6 +179,15 @@ def test_pieces_equal_the_library(spark, library, docs, edge, empty):
     assert pieces.encode(edge).count() == edge.count() and pieces.encode(empty).count() == 0
 
 
+def test_all_words_through_the_lattice(docs, edge, empty):
+    """Joined back by document and word, the lattice in Spark gives what the words in place give."""
+    some = docs.where("n_chars < 1500")
+    for df in (some.limit(40), edge.where("doc_id NOT IN (6, 7) OR doc_id IS NULL")):
+        found = pieces.encode(df, most=30, joined=True).collect()
+        assert sorted(map(repr, found)) == sorted(map(repr, pieces.encode(df, most=30).collect()))
+    assert pieces.encode(empty, joined=True).count() == 0
+
+
 def test_lattice_in_spark(spark, library):
     words = ["Hello", "world", "", " ", "   x", "unbelievable", "日本語", "😀é", "ﬁ", "<0x0A>", "\n", "\nThe", "  \nThe", "a\tb", "aaaaaaaaaaaaaaaaaaaa", "----------", "'s.", "Äußerst,"]
     df = spark.createDataFrame([(w,) for w in words], "word string")
@@ -286,6 +295,39 @@ def test_page_parts_are_left_out():
     assert webtext.main_text(page, webtext.default_chain()) == "The title\n\nFirst part here & there.\n\nSecond part."
 
 
+#: Layouts written by hand: (page, blocks of the article).
+LAYOUTS = [
+    ("<html><body><p>One plain paragraph that says a little about something.</p><p>Second one, which goes on with it for a while.</p></body></html>",
+     ["One plain paragraph that says a little about something.", "Second one, which goes on with it for a while."]),
+    ("<p>Only one paragraph stands here, with no other tag around it at all.", ["Only one paragraph stands here, with no other tag around it at all."]),
+    ("<html><head><title>T</title><p>Some real text here.</p><p>More of it follows now.</p>", ["Some real text here.", "More of it follows now."]),
+    ("<title>T</title><nav><a href=/>Home</a> <a href=/n>News</a></nav><main><h1>On rivers</h1><p>Rivers run&nbsp;&nbsp; down to the sea, mostly.</p></main><footer>&copy; 2024 Someone</footer>",
+     ["On rivers", "Rivers run down to the sea, mostly."]),
+    ("<body><article><h1>Bread</h1><p>Flour, water and salt are all that it takes.</p></article><div class='user-remarks'><p>Great, I baked it twice already!</p><p>So did I.</p></div></body>",
+     ["Bread", "Flour, water and salt are all that it takes."]),
+    ("<body><article><p>First, the dough is made and left alone.</p></article><section id=responses><article><p>Thanks for this, it was useful to me.</p></article></section></body>",
+     ["First, the dough is made and left alone."]),
+    ("<body><div id=header>My site</div><div id=content><h2>Wind</h2><p>Air moves from high to low.<p>It never rests.</div><div id=sidebar><ul><li><a href=/a>Other</a><li><a href=/b>Things</a></ul></div></body>",
+     ["Wind", "Air moves from high to low.", "It never rests."]),
+    ("<body><div class=cookie-banner><p>We use cookies to make this better.</p><button>Fine</button></div><article><p>Before, <svg><path d=x></p><p>between, and after that</p><p>the end is near.</p></article>",
+     ["Before,", "between, and after that", "the end is near."]),
+    ("<body><article><p>It was late. <select><option>x<p>Nobody was awake in the house.</article></body>", ["It was late.", "Nobody was awake in the house."]),
+    ("<body><div class=ads><p>Buy one now and get one more.</p></div><section class=post><h1>Stones</h1><blockquote>They last longer than we do.</blockquote><ul><li>Granite is hard and old.</li><li>Chalk is soft.</li></ul></section><form><p>Sign up for our letter.</p><input></form></body>",
+     ["Stones", "They last longer than we do.", "Granite is hard and old.", "Chalk is soft."]),
+]
+
+
+def test_layouts_by_hand():
+    chain = webtext.default_chain()
+    hits = misses = false = 0
+    for page, expected in LAYOUTS:
+        found = [t for t in webtext.main_text(page, chain).split("\n\n") if t]
+        hits, misses, false = hits + len(set(found) & set(expected)), misses + len(set(expected) - set(found)), false + len(set(found) - set(expected))
+        if page.startswith(("<html><body><p>", "<p>Only", "<html><head>")):
+            assert found == expected
+    assert 2 * hits / (2 * hits + misses + false) > 0.95
+
+
 def test_extract_cases(spark):
     rows = [(1, "u", None, 1), (2, None, "", 2), (None, "u", "<p>x", 3), (4, "u", "<br>" * 20_000, 4), (5, "u", "<div>" * 3000 + "word " * 50_000, 5), (5, "u", "<p>x", 5), (6, "u", "<<<>>&&", 6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
