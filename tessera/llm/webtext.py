@@ -426,9 +426,9 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[list[Block], list[int]]
             inner = wrap(rng.choice(("div", "div", "section", "article")), "body", inner)
         if rng.random() < 0.3:
             inner = wrap("div", "body", inner, 0.5)
-        alone = rng.random() < 0.12
-        if alone and kind >= 0.3:  # a plain page: an article and nothing else
-            inner = "".join(re.sub(r">([^<]+)", lambda m: ">" + mark(m[1]), paragraph()) for _ in range(rng.choice((1, 2, 2, 3, 5, 8))))
+        alone = rng.random() < 0.2
+        if alone:  # a plain page: an article and nothing else
+            inner = "".join(re.sub(r">([^<]+)", lambda m: ">" + mark(m[1]), paragraph()) for _ in range(rng.choice((1, 1, 2, 2, 3, 5, 8))))
             inner = rng.choice((inner, f"<div>{inner}</div>", f"<main>{inner}</main>"))
         before = [] if alone else [rng.choice((nav, nav, top, top, advert, note, form, side))() for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4)))]
         after = [] if alone else [rng.choice((foot, foot, talk, side, nav, advert, form, note))() for _ in range(rng.choice((0, 1, 1, 2, 2, 3)))]

@@ -269,7 +269,8 @@ def test_blocks():
     assert [b.text for b in webtext.blocks(page)] == ["One & two three", "four", "five", "six", "seven", "eight nine", "10 < 11 < 12 A&unknown;"]
     assert [b.text for b in webtext.blocks("a<!-- never ends")] == ["a"]
     assert [b.text for b in webtext.blocks("a<script>x")] == ["a"] and webtext.blocks("") == []
-    assert [b.text for b in webtext.blocks("<p>a b \t\n c</p><p class='")] == ["a b c"]
+    # U+00A0 is white space as well: "turn white space inside a block into one space".
+    assert [b.text for b in webtext.blocks("<p>a\u00a0b \t\n c&nbsp; d</p><p class='")] == ["a b c d"]
 
 
 def test_blocks_of_odd_pages():
