@@ -75,7 +75,7 @@ def _quality_rule(rule: quality.Rule) -> str:
     return f"(n_words < {rule.min_words} OR ({' AND '.join(bounds)}))"
 
 
-_STOP = ", ".join(_quoted(w) for w in quality.STOP_WORDS)
+_STOP = ", ".join(_quoted(w) for w in quality.STOP_FORMS)
 QUALITY = rf"""WITH {_DOCS},
 cut AS (SELECT doc_id, text, list_filter(string_split_regex(text, '{_SPACE}'), lambda w: w <> '') AS words,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),

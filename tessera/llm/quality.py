@@ -6,8 +6,10 @@ shuffle: a row's result depends on that row alone, so a hot source costs no
 more than its share.
 
 Defined cases: a null or empty text, or one of white space only, has no words,
-every count 0 and is rejected (n_words < 20). Repeated rows each get a row.
-A null doc_id is kept. Other columns are ignored, whatever their names.
+every count 0 and is rejected (n_words < 20). Texts are measured whole, whatever
+their length; a measure that equals a threshold passes. Repeated rows each get a
+row; a null doc_id is kept; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ STOP_WORDS = tuple(
     "der die das und zu den von mit ist nicht auf ein eine im dem sich auch für "
     "el los las y del se con una su al lo como más pero no".split()
 )
+#: As they stand in a text: in lower case, with a capital, in capitals.
+STOP_FORMS = tuple(sorted({f for w in STOP_WORDS for f in (w, w.capitalize(), w.upper())}))
 
 
 @dataclass(frozen=True)
@@ -81,7 +85,7 @@ def _repeat_words(window: int) -> str:
 def measure(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id with the measures of each text."""
     spaces = r"' \t\n\u000b\u000c\r'"
-    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_FORMS)
     split = doc_texts(docs).select(
         "doc_id",
         "text",
