@@ -78,18 +78,17 @@ def _words_in(x: str) -> str:
 
 
 def _places(regex: str, of: str = "norm") -> str:
-    """SQL for the (start, end) word places of a regex over whole words.
+    """SQL for the (start, n) word places of a regex, itself SQL, over whole words.
 
     Words stand as ' w1  w2 ' (each between spaces of its own), so neighbouring
     matches share no character. What split() leaves between the matches tells
     where they start.
     """
-    quoted = f" {doubled(regex)} ".replace("'", "\\'")
-    found = let(
-        f"split({of}, '{quoted}', -1)",
+    return let(
+        f"split({of}, {regex}, -1)",
         "p",
         let(
-            f"regexp_extract_all({of}, '{quoted}', 0)",
+            f"regexp_extract_all({of}, {regex}, 0)",
             "m",
             let(
                 running(f"transform(m, (x, i) -> {_words_in('p[i]')} + {_words_in('x')})"),
@@ -98,7 +97,10 @@ def _places(regex: str, of: str = "norm") -> str:
             ),
         ),
     )
-    return f"if({of} RLIKE '{quoted}', {found}, cast(array() AS array<struct<start:bigint,n:bigint>>))"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def doubled(regex: str) -> str:
@@ -133,22 +135,17 @@ def license_scan(docs: DataFrame) -> DataFrame:
     found = base.select(
         "*", sql(f"if(norm = '', cast(array() AS array<{_DETECTION}>), concat({', '.join(phrases)}))").alias("base")
     )
-    gated = {}
-    for r in every:
-        gated.setdefault(r.keyword, []).append(r)
-    parts = []
-    for keyword, group in gated.items():
-        each = [
-            f"transform({_places(r.regex)}, x -> struct(x.start AS start, -(x.start + x.n) AS back, {r.priority} AS priority, '{r.label}' AS label, {r.score}D AS score))"
-            for r in group
-        ]
-        parts.append(f"if(contains(norm, '{keyword}'), flatten(array({', '.join(each)})), cast(array() AS array<{_DETECTION}>))")
-    # Rules in chunks, each its own column: one expression of hundreds of regexes outgrows a generated method.
-    names = []
-    for i in range(0, len(parts), 6):
-        names.append(f"more{i}")
-        found = found.withColumn(names[-1], sql(f"if(norm = '', cast(array() AS array<{_DETECTION}>), concat({', '.join(parts[i : i + 6])}))"))
-    found = found.select("doc_id", "n_words", "base", F.concat("base", *names).alias("every"))
+    # The table is one constant, so the plan does not grow with it: a text tries the rules whose keyword it holds.
+    keywords = "array(" + ", ".join(_quoted(k) for k in sorted({r.keyword for r in every})) + ")"
+    table = "array(" + ", ".join(
+        f"struct({r.priority} AS priority, {_quoted(r.label)} AS label, {_quoted(r.keyword)} AS keyword, {_quoted(f' {doubled(r.regex)} ')} AS regex, {r.score}D AS score)" for r in every
+    ) + ")"
+    held = let(f"filter({keywords}, k -> contains(norm, k))", "kw", f"filter({table}, r -> array_contains(kw, r.keyword) AND norm RLIKE r.regex)")
+    more = (
+        f"flatten(transform({held}, r -> transform({_places('r.regex')}, x -> "
+        "struct(x.start AS start, -(x.start + x.n) AS back, r.priority AS priority, r.label AS label, r.score AS score))))"
+    )
+    found = found.select("doc_id", "n_words", "base", sql(f"if(norm = '', base, concat(base, {more}))").alias("every"))
     # Sorted by start and then by falling end, whatever holds a detection stands before it, and begins at most as many
     # words before it as the longest detection has; where those begin is found by steps of halving length.
     steps = "array(" + ", ".join(str(1 << k) for k in range(30, -1, -1)) + ")"

@@ -142,11 +142,11 @@ def test_many_phrases_in_one_text(spark):
     began = time.perf_counter()
     (row,) = license_scan(df).collect()
     took = time.perf_counter() - began
-    assert repr(tuple(row)[1:-1]) == repr(scan_fast(text)) and took < 60, took
+    assert repr(tuple(row)[1:-1]) == repr(scan_fast(text)) and took < 20, took
 
 
 def scan_fast(text):
     """scan() of a text that is one sentence again and again: the labels of one or two, the places of all."""
-    one = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)) // 1000
+    one = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())) // 1000
     n, n_base, first, last, base, labels, score = scan(text[: 2 * len(text) // 1000])
     return 1000 * one, 500 * n_base, first, last + 998 * one, base, labels, score
