@@ -1,7 +1,9 @@
+import os
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tessera.llm.common import written
+from tessera.llm.common import shared_dir, written
 from tessera.llm.secrets import secret_scan
 from tessera.llm.simhash import simhash_near_dedup
 from tessera.llm.toxicity import toxicity
@@ -32,8 +34,15 @@ def test_stages(spark, docs):
     assert out.count() == at.count() and out.where(~F.col("round_trip")).count() == 0
 
 
+def test_run_leaves_one_table(spark):
+    """Of all that the stages write only the last result stays."""
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    out = pipeline.run(spark, SF)
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert left == {os.path.basename(out.written_path)} and out.count() > 0
+
+
 def test_run_and_edge_cases(spark, edge, empty):
-    assert pipeline.run(spark, SF).count() > 0
     for df in (edge, empty):
         at = df
         for _, stage in pipeline.STAGES:
