@@ -1,6 +1,7 @@
 """A table over HTTP: python -m tessera.tools.server [--table PATH] [--listen HOST:PORT].
 
-The table is PATH, or else what TESSERA_TABLE names. One request changes the
+The table is PATH, or else what TESSERA_TABLE names: a folder, or a URI that
+Hadoop opens, for which a local session is started. One request changes the
 table at a time; commits of other processes are told apart by the log itself.
 """
 
@@ -15,6 +16,8 @@ from dataclasses import asdict
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
+from pyspark.sql import SparkSession
+
 from ..errors import ConflictError, CorruptedJsonError, DuplicateVersionError, LogError, MissingVersionError, WriteConflictError
 from ..operators.gc import vacuum
 from ..operators.reader import SnapshotReader
@@ -22,7 +25,7 @@ from ..operators.recovery import recover_log, validate_log
 from ..operators.transaction import Transaction
 from ..sources.layout import STAGING, is_safe, normalize
 from ..sources.log import latest_version
-from ..sources.storage import StorageBackend, local_storage
+from ..sources.storage import StorageBackend, open_storage
 
 _STATUS: tuple[tuple[type[Exception], int], ...] = (
     (ConflictError, 409), (WriteConflictError, 409), (DuplicateVersionError, 409),
@@ -194,7 +197,10 @@ def main(args: list[str] | None = None) -> None:
     given = parser.parse_args(args)
     if not given.table:
         parser.error("--table or TESSERA_TABLE is needed")
-    make_server(local_storage(given.table), given.listen).serve_forever()
+    spark = None
+    if "://" in given.table and not given.table.startswith("file://"):  # a shared store, through Hadoop
+        spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+    make_server(open_storage(spark, given.table), given.listen).serve_forever()
 
 
 if __name__ == "__main__":
