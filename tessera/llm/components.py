@@ -1,4 +1,9 @@
-"""Connected components of an edge table, by alternating stars."""
+"""Connected components of an edge table, by alternating stars.
+
+Defined cases: repeated edges, edges of a node to itself and edges with a null
+end change nothing; an empty table has no components; other columns are ignored.
+The order of rows and ties do not matter, as a component is named by its least node.
+"""
 
 from __future__ import annotations
 
