@@ -170,7 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "valid_prefix": _gapped(checks.valid_prefix),
     "truncated_versions": _gapped(checks.truncated_versions),
     "invariant_duplicate_versions": lambda s, d: checks.duplicate_versions(names_frame(s, zeroed_log(s, d).storage)),
-    "invariant_determinism": lambda s, d: checks.unequal_snapshots(events_log(s, d).ops(), emptied_log(s, d).ops(), 20),
+    "invariant_determinism": lambda s, d: checks.unequal_snapshots(events_log(s, d).ops(), emptied_log(s, d).ops(), 12),
     "all_violations": lambda s, d: repeated_log(s, d).violations(),
     "invariant_dup_in_entry": lambda s, d: checks.duplicate_adds(repeated_log(s, d).ops()),
     "invariant_readds": lambda s, d: checks.readds(events_log(s, d).ops()),
@@ -213,8 +213,8 @@ ORACLE_SQL: dict[str, str] = {
     "valid_prefix": f"WITH {_PREFIX} SELECT max(version) AS valid_version FROM r WHERE rn = version",
     "truncated_versions": f"WITH {_PREFIX} SELECT version FROM l WHERE version > (SELECT max(version) FROM r WHERE rn = version)",
     "invariant_duplicate_versions": f"WITH {_OPS} SELECT version, CAST(2 AS BIGINT) AS n FROM ops WHERE act = 0 GROUP BY version HAVING count(*) % 2 = 1",
-    "invariant_determinism": f"""WITH {_SNAP}, other AS (SELECT file FROM ops WHERE version <= 20 AND version NOT IN (12, 25) GROUP BY file HAVING max(version * 2 + act) % 2 = 0),
-one AS (SELECT file FROM snap WHERE at_version = 20) (SELECT file FROM one EXCEPT SELECT file FROM other) UNION ALL (SELECT file FROM other EXCEPT SELECT file FROM one)""",
+    "invariant_determinism": f"""WITH {_SNAP}, other AS (SELECT file FROM ops WHERE version <= 12 AND version NOT IN (12, 25) GROUP BY file HAVING max(version * 2 + act) % 2 = 0),
+one AS (SELECT file FROM snap WHERE at_version = 12) (SELECT file FROM one EXCEPT SELECT file FROM other) UNION ALL (SELECT file FROM other EXCEPT SELECT file FROM one)""",
     "all_violations": f"""WITH {_SNAP}, many AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS version,
   'u' || CAST(user_id AS VARCHAR) || '.parquet' AS file, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS act, count(*) AS n
   FROM events WHERE event_type IN ('purchase', 'signup', 'view', 'error') GROUP BY 1, 2, 3),
