@@ -18,7 +18,9 @@ its own and becomes its UTF-8 bytes' pieces.
 
 The frequent words are at most FREQUENT, so their table has a size bound and is
 sent to the executors. All other words are exact too: the same lattice and
-Viterbi run for them where they stand, in Python, with a bounded cache.
+Viterbi run for them where they stand: in numpy over the
+new words of a chunk of texts at once (``lattice``), and word by word for words
+of over 64 characters.
 
 Defined cases: null and empty texts have no pieces. Texts and words of any length
 are encoded whole. Texts that hold U+2581 itself decode to spaces in its place, as
@@ -30,6 +32,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections import Counter
@@ -43,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_texts, frugal, let, partitions, pick, sql, written
+from .lattice import Lattice
 from .wordhash import chunks
 
 SPACE = "▁"
@@ -119,6 +123,8 @@ class Pieces:
     fits: dict[str, dict[str, bool]] = field(default_factory=dict)
     n_fits: int = 0
     runs: dict[str, bytes] = field(default_factory=dict)
+    #: Tells tables apart.
+    key: str = ""
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "fits": {}, "n_fits": 0, "runs": {}}
@@ -188,49 +194,32 @@ class Pieces:
             out.append(ids)
         return b"".join(out)
 
-    def _extend(self, word: str, known: dict[str, bytes]) -> bytes | None:
-        """The ids of a word whose path goes through the end of a known word, if one does.
-
-        Paths into a place depend on what stands before it only, so the path of
-        a known word and one more edge of finite score are the word's path.
-        """
-        kinds, fits = self.kinds, self.fits
-        for start in range(len(word) - 1, max(0, len(word) - self.longest), -1):
-            piece = word[start:]
-            kind = kinds.get(piece)
-            if kind is None:
-                return None
-            if kind:
-                before = known.get(word[:start])
-                if before is not None:
-                    left = self.names[before[-4] | before[-3] << 8 | before[-2] << 16] or word[start - 1]
-                    fit = fits.get(left)
-                    good = fit.get(piece) if fit is not None else None
-                    if good is None:
-                        good = self.follows(left, piece)
-                    if good:
-                        return before + self.id_bytes[piece]
-        return None
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words as bytes of int32: all lattices at once, but for the words that need a walk of their own."""
+        return [self.encode_word(w) if ids is None else ids for w, ids in zip(words, _lattice(self).encode(words), strict=True)]
+
+    def encode_texts(self, texts: list[str], known: dict[str, bytes], met: bytearray | None = None) -> list[np.ndarray]:
+        """The ids of texts; known: those of words, as bytes of int32, to which it adds words met before."""
+        words = [split_words(t, self.lines) if t else [] for t in texts]
+        found = [list(map(known.get, w)) for w in words]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        new = list(dict.fromkeys([w[i] for w, gap in zip(words, gaps, strict=True) for i in gap]))
+        ids_of = dict(zip(new, self.encode_words([SPACE + w if w[:1] > " " else spaced(w, self.lines) for w in new]), strict=True))
+        if met is not None:
+            for w, ids in ids_of.items():
+                bit = hash(w) % _MET
+                if met[bit >> 3] >> (bit & 7) & 1:
+                    known[w] = ids
+                else:
+                    met[bit >> 3] |= 1 << (bit & 7)
+        for w, f, gap in zip(words, found, gaps, strict=True):
+            for i in gap:
+                f[i] = ids_of[w[i]]
+        return [np.frombuffer(b"".join(f), np.int32) for f in found]
 
     def encode(self, text: str, known: dict[str, bytes], met: bytearray | None = None) -> np.ndarray:
-        """The ids of a text; known: those of words, as bytes of int32, to which it adds words met before."""
-        if not text:
-            return np.zeros(0, np.int32)
-        words = split_words(text, self.lines)
-        out = list(map(known.get, words))
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            w = words[i]
-            ids = known.get(w)
-            if ids is None:
-                ids = (self._extend(w, known) if w[:1] != " " else None) or self.encode_word(spaced(w, self.lines))
-                if met is not None:
-                    bit = hash(w) % _MET
-                    if met[bit >> 3] >> (bit & 7) & 1:
-                        known[w] = ids
-                    else:
-                        met[bit >> 3] |= 1 << (bit & 7)
-            out[i] = ids
-        return np.frombuffer(b"".join(out), np.int32)
+        """The ids of a text: see encode_texts()."""
+        return self.encode_texts([text], known, met)[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -239,6 +228,20 @@ class Pieces:
         return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
 
 
+#: Lattices by the key of their table: a worker keeps them from one task to the next.
+_LATTICES: dict[str, Lattice] = {}
+
+
+def _lattice(pieces: Pieces) -> Lattice:
+    found = _LATTICES.get(pieces.key)
+    if found is None:
+        while len(_LATTICES) > 1:
+            del _LATTICES[next(iter(_LATTICES))]
+        rank = pieces.rank
+        found = _LATTICES[pieces.key] = Lattice(pieces.kinds, pieces.ids, pieces.byte_ids, lambda a, b: merged(a + b, rank) == [a, b])
+    return found
+
+
 @lru_cache(maxsize=2)
 def load_pieces(path: str = MODEL) -> Pieces:
     """The piece table of a model file (byte-pair merges with byte fallback)."""
@@ -267,6 +270,7 @@ def load_pieces(path: str = MODEL) -> Pieces:
     made.id_bytes = {p: np.int32(i).tobytes() for p, i in ids.items()}
     made.kinds = {p[i:]: 0 for p in made.whole for i in range(len(p))} | dict.fromkeys(made.whole, 1)
     made.inside = frozenset(p[i : i + 2] for p in ids for i in range(len(p) - 1))
+    made.key = hashlib.sha256(repr((byte_ids, [(p, i, rank[p]) for p, i in ids.items()])).encode()).hexdigest()
     return made
 
 
@@ -365,7 +369,7 @@ def _encode(batches: Iterator[pa.RecordBatch], pieces: Pieces, table: dict[str,
             if len(known) > len(table) + _WORDS:
                 known = dict(table)
             texts = chunk.column("text").to_pylist()
-            ids = [pieces.encode(t, known, met) for t in texts]
+            ids = pieces.encode_texts(texts, known, met)
             same = [pieces.decode(i) == t for i, t in zip(ids, texts, strict=True)]
             n = np.array([len(i) for i in ids], np.int64)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)

@@ -1,4 +1,5 @@
 import html
+import pickle
 import re
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, pieces, toxicity, webtext
+from tessera.llm import lattice, mixing, pieces, toxicity, webtext
 from tessera.llm.common import load
 
 from .conftest import SF
@@ -214,6 +215,42 @@ def test_encoding_equals_the_library(text):
     assert table.decode(ids) == text.replace("▁", " ")
 
 
+def test_lattices_side_by_side(library, monkeypatch):
+    """New words go through the lattice together, in a worker's second task with the pairs of the first; those of over 64 characters walk alone."""
+    table = pieces.load_pieces()
+    rng = np.random.default_rng(5)
+    parts = ["tion", "ing", "ß", "ä", "###", ",", "日", "😀", "é", "\t", "\x01", "0", "7", "Wh", "a", "\u0378"]
+    words = ["".join(rng.choice(parts, rng.integers(1, 25))) for _ in range(3000)] + ["\nThe", "x" * 64, "x" * 65, "ab" * 500, "\n", " ", "  \n😀"]
+    texts = [" ".join(words[:2000]), "", " ".join(words[1000:]), *words[-7:]]
+    walked = []
+    walk = pieces.Pieces.encode_word
+    monkeypatch.setattr(pieces.Pieces, "encode_word", lambda self, w: walked.append(w) or walk(self, w))
+    found = table.encode_texts(texts, {})
+    assert [i.tolist() for i in found] == [library.encode(t) for t in texts]
+    assert walked and all(len(w) > lattice.LONGEST for w in walked)
+    again = pickle.loads(pickle.dumps(table))
+    n = pieces._lattice(table).pairs.n
+    assert [i.tolist() for i in again.encode_texts(texts, {})] == [i.tolist() for i in found]
+    assert pieces._lattice(again).pairs.n == n > 0
+
+
+def test_pairs_are_bounded(library, monkeypatch):
+    """Pairs that were forgotten are tried again, and no number is lost but by the bound."""
+    table = pieces.load_pieces()
+    numbers, expected = lattice.Numbers(), {}
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        keys = np.array([k for k in np.unique(rng.integers(0, 1 << 45, 997)).tolist() if k not in expected], np.int64)
+        numbers.put(keys, np.arange(len(keys), dtype=np.int32))
+        expected |= dict(zip(keys.tolist(), range(len(keys)), strict=True))
+    assert numbers.get(np.array([*expected, *range(50)], np.int64)).tolist() == [*expected.values(), *[-1] * 50]
+    monkeypatch.setattr(pieces, "_LATTICES", {})
+    pieces._lattice(table).pairs.most = 1 << 12
+    words = ["".join(rng.choice(list("etaoinshrdlu,."), 9)) for _ in range(6000)]
+    assert table.encode_texts([" ".join(words)], {})[0].tolist() == library.encode(" ".join(words))
+    assert len(pieces._lattice(table).pairs.keys) <= 1 << 15
+
+
 def test_decoding(spark, edge):
     encoded = pieces.encode(edge)
     texts = sorted(map(repr, pieces.decode(encoded).collect()))
